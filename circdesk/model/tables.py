@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, fields, replace
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
+from circdesk.model.schema import DDL
+
 
-@dataclass(frozen=True)
 class Tables:
+    """One attribute per library table; a table given as a function is set up on first use."""
+
     the_loai: DataFrame
     tac_gia: DataFrame
     sach: DataFrame
@@ -21,10 +24,23 @@ class Tables:
     hoa_don: DataFrame
     yeu_cau_gia_han: DataFrame
 
+    def __init__(self, **tables: DataFrame | Callable[[], DataFrame]) -> None:
+        if set(tables) != set(DDL):
+            raise ValueError(f"tables wanted: {sorted(DDL)}, given: {sorted(tables)}")
+        self._sources = tables
+
+    def __getattr__(self, name: str) -> DataFrame:
+        if name not in DDL:
+            raise AttributeError(name)
+        source = self._sources[name]
+        table = source if isinstance(source, DataFrame) else source()
+        setattr(self, name, table)
+        return table
+
     def having(self, **changed: DataFrame) -> Tables:
         """The same set with some tables replaced by newer versions."""
-        return replace(self, **changed)
+        return Tables(**{**self._sources, **changed})
 
     @classmethod
     def names(cls) -> list[str]:
-        return [f.name for f in fields(cls)]
+        return list(DDL)

@@ -8,17 +8,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from circdesk.functions.dates import moment, plus_days
 from circdesk.model import vocab as V
 from circdesk.model.tables import Tables
-from circdesk.sources.derived import AS_OF, line_id, raw
+from circdesk.sources.derived import AS_OF, LINE_ID, raw
 
-def _event() -> Column:
-    return F.col("event_id")
-
-
-def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return raw(spark, sf_dir, "events")
+_NOW = f"timestamp_ntz '{AS_OF}'"
+_CARD_OF_EVENT = "user_id * 10 + event_id % 11 as ma_the"
 
 
 def _highest(spark: SparkSession, sf_dir: str, table: str, column: str) -> Column:
@@ -28,198 +23,188 @@ def _highest(spark: SparkSession, sf_dir: str, table: str, column: str) -> Colum
 
 def loan_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One loan request per event; a few with a bad term, list or item."""
-    last_book = _highest(spark, sf_dir, "part", "p_partkey")
-    first = (_event() % (last_book + 5)).cast("string")
-    second = ((_event() * 7) % (last_book + 1)).cast("string")
-    pair = F.concat_ws(",", first, second)
-    books = (
-        F.when(_event() % 83 == 0, F.lit(None).cast("string"))
-        .when(_event() % 79 == 0, F.concat_ws(",", first, first))
-        .when(_event() % 73 == 0, F.concat(pair, F.lit(",x")))
-        .when(_event() % 71 == 0, F.concat_ws(",", *[pair] * 6))
-        .otherwise(pair)
-    )
-    days = F.when(_event() % 97 == 0, 90).when(_event() % 89 == 0, 0).otherwise(V.DEFAULT_LOAN_DAYS)
-    return _events(spark, sf_dir).select(
-        _event().alias("request_id"),
-        _event().alias("seq"),
-        (F.col("user_id") * 10 + _event() % 11).alias("ma_the"),
-        (_event() % 25).alias("ma_nhan_vien"),
-        books.alias("danh_sach_sach"),
-        days.alias("so_ngay_muon"),
+    events = raw(spark, sf_dir, "events").withColumn(
+        "n", _highest(spark, sf_dir, "part", "p_partkey")
+    )
+    books = events.selectExpr(
+        "*",
+        "cast(event_id % (n + 5) as string) as b1",
+        "cast((event_id * 7) % (n + 1) as string) as b2",
+    )
+    return books.selectExpr(
+        "event_id as request_id",
+        "event_id as seq",
+        _CARD_OF_EVENT,
+        "event_id % 25 as ma_nhan_vien",
+        """case when event_id % 83 = 0 then null
+                when event_id % 79 = 0 then concat(b1, ',', b1)
+                when event_id % 73 = 0 then concat(b1, ',', b2, ',x')
+                when event_id % 71 = 0 then concat_ws(',', array_repeat(concat(b1, ',', b2), 6))
+                else concat(b1, ',', b2) end as danh_sach_sach""",
+        f"""case when event_id % 97 = 0 then 90 when event_id % 89 = 0 then 0
+            else {V.DEFAULT_LOAN_DAYS} end as so_ngay_muon""",
     )
 
 
 def return_requests(tables: Tables) -> DataFrame:
     """One return request per loan line, closed ones included."""
-    pick = F.col("ma_sach") % 5
-    condition = (
-        F.when(pick == 0, V.TOT)
-        .when(pick == 1, V.NGUYEN_VEN)
-        .when(pick == 2, V.HONG)
-        .when(pick == 3, V.MAT)
-        .otherwise("Ướt")
-    )
-    return tables.chi_tiet.select(
-        line_id().alias("request_id"), line_id().alias("seq"), "ma_phieu_muon", "ma_sach",
-        condition.alias("trang_thai_sach"), (F.col("ma_sach") % 25).alias("ma_nhan_vien"),
+    return tables.chi_tiet.selectExpr(
+        f"{LINE_ID} as request_id",
+        f"{LINE_ID} as seq",
+        "ma_phieu_muon",
+        "ma_sach",
+        f"""case ma_sach % 5 when 0 then '{V.TOT}' when 1 then '{V.NGUYEN_VEN}'
+            when 2 then '{V.HONG}' when 3 then '{V.MAT}' else 'Ướt' end as trang_thai_sach""",
+        "ma_sach % 25 as ma_nhan_vien",
     )
 
 
+def _twice(tables: Tables) -> DataFrame:
+    """Every stored extension request two times, told apart by ``lan``."""
+    return tables.yeu_cau_gia_han.selectExpr("*", "explode(array(0, 1)) as lan")
+
+
 def extension_applications(tables: Tables) -> DataFrame:
     """Two applications per stored request, the second one a repeat."""
-    return tables.yeu_cau_gia_han.select(
-        "ma_yeu_cau", F.explode(F.array(F.lit(0), F.lit(1))).alias("_lan")
-    ).select(
-        (F.col("ma_yeu_cau") * 2 + F.col("_lan")).alias("request_id"),
-        (F.col("ma_yeu_cau") * 2 + F.col("_lan")).alias("seq"),
-        "ma_yeu_cau",
+    return _twice(tables).selectExpr(
+        "ma_yeu_cau * 2 + lan as request_id", "ma_yeu_cau * 2 + lan as seq", "ma_yeu_cau"
     )
 
 
 def extension_decisions(tables: Tables) -> DataFrame:
     """Two decisions per stored request, a third of them undecided."""
-    rows = tables.yeu_cau_gia_han.select(
-        "ma_yeu_cau", "ma_phieu_muon", "ma_sach",
-        F.explode(F.array(F.lit(0), F.lit(1))).alias("_lan"),
-    )
-    pick = (F.col("ma_phieu_muon") + F.col("ma_sach") * (F.col("_lan") + 1)) % 3
-    return rows.select(
-        (F.col("ma_yeu_cau") * 2 + F.col("_lan")).alias("request_id"),
-        (F.col("ma_yeu_cau") * 2 + F.col("_lan")).alias("seq"),
+    return _twice(tables).selectExpr(
+        "ma_yeu_cau * 2 + lan as request_id",
+        "ma_yeu_cau * 2 + lan as seq",
         "ma_yeu_cau",
-        F.when(pick == 0, F.lit(True)).when(pick == 1, F.lit(False)).alias("chap_nhan"),
+        """case (ma_phieu_muon + ma_sach * (lan + 1)) % 3 when 0 then true when 1 then false end
+           as chap_nhan""",
     )
 
 
 def account_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One patch per event; errors patch staff logins (some unknown), the rest reader logins."""
-    kind = F.col("event_type")
-    login = F.when(
-        kind == "error", F.concat(F.lit("nv"), (_event() % 30).cast("string"))
-    ).otherwise(F.concat(F.lit("dg"), (F.col("user_id") * 11 + _event() % 11).cast("string")))
-    return _events(spark, sf_dir).select(
-        _event().alias("request_id"),
-        _event().alias("seq"),
-        login.alias("username"),
-        F.when(kind.isin("signup", "error"), F.concat(F.lit("p"), _event().cast("string"))).alias(
-            "password_moi"
-        ),
-        F.when(kind.isin("click", "error"), F.when(_event() % 2 == 0, V.HOAT_DONG).otherwise(V.VO_HIEU)).alias(
-            "trang_thai_moi"
-        ),
+    return raw(spark, sf_dir, "events").selectExpr(
+        "event_id as request_id",
+        "event_id as seq",
+        """if(event_type = 'error', concat('nv', event_id % 30),
+           concat('dg', user_id * 11 + event_id % 11)) as username""",
+        "if(event_type in ('signup', 'error'), concat('p', event_id), null) as password_moi",
+        f"""case when event_type in ('click', 'error')
+            then if(event_id % 2 = 0, '{V.HOAT_DONG}', '{V.VO_HIEU}') end as trang_thai_moi""",
     )
 
 
 def cancellation_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One request per customer, for the next reader; the last reader does not exist."""
-    key = F.col("c_custkey")
-    return raw(spark, sf_dir, "customer").select(
-        key.alias("request_id"), key.alias("seq"), (key + 1).alias("ma_doc_gia")
+    return raw(spark, sf_dir, "customer").selectExpr(
+        "c_custkey as request_id", "c_custkey as seq", "c_custkey + 1 as ma_doc_gia"
     )
 
 
 def new_books(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A new edition of every part; some with an unknown category, blank title or unknown author."""
-    key, size = F.col("p_partkey"), F.col("p_size")
-    authors = (
-        F.when(key % 6 == 0, F.lit(None).cast("string"))
-        .when(key % 6 == 1, F.concat((key % (_highest(spark, sf_dir, "supplier", "s_suppkey") + 9)).cast("string"), F.lit(", "), F.col("p_name")))
-        .when(key % 6 == 2, F.concat(F.col("p_name"), F.lit(","), F.col("p_name"), F.lit(" ,Supplier#000000001")))
-        .otherwise(F.concat(F.col("p_name"), F.lit(" "), F.col("p_type"), F.lit(",0")))
-    )
-    return raw(spark, sf_dir, "part").select(
-        key.alias("request_id"),
-        key.alias("seq"),
-        F.when(size == 7, F.lit("  ")).otherwise(F.col("p_name")).alias("ten_sach"),
-        F.lit("img/bia.jpg").alias("hinh_anh"),
-        F.col("p_type").alias("mo_ta"),
-        F.col("p_brand").alias("nha_xuat_ban"),
-        (size - 3).alias("so_luong"),
-        (F.col("p_retailprice") - 905).cast("decimal(10,2)").alias("don_gia"),
-        (size % 8).cast("bigint").alias("ma_the_loai"),
-        authors.alias("danh_sach_tac_gia"),
+    parts = raw(spark, sf_dir, "part").withColumn(
+        "n", _highest(spark, sf_dir, "supplier", "s_suppkey")
+    )
+    return parts.selectExpr(
+        "p_partkey as request_id",
+        "p_partkey as seq",
+        "if(p_size = 7, '  ', p_name) as ten_sach",
+        "'img/bia.jpg' as hinh_anh",
+        "p_type as mo_ta",
+        "p_brand as nha_xuat_ban",
+        "p_size - 3 as so_luong",
+        "cast(p_retailprice - 905 as decimal(10,2)) as don_gia",
+        "cast(p_size % 8 as bigint) as ma_the_loai",
+        """case p_partkey % 6 when 0 then null
+                when 1 then concat(p_partkey % (n + 9), ', ', p_name)
+                when 2 then concat(p_name, ',', p_name, ' ,Supplier#000000001')
+                else concat(p_name, ' ', p_type, ',0') end as danh_sach_tac_gia""",
     )
 
 
 def inserted_lines(spark: SparkSession, sf_dir: str, per_statement: int = 1) -> DataFrame:
     """Two new loan lines per event; events are put into statements of ``per_statement``."""
-    last_book = _highest(spark, sf_dir, "part", "p_partkey")
-    last_slip = _highest(spark, sf_dir, "orders", "o_orderkey")
-    return _events(spark, sf_dir).select(
-        F.expr(f"event_id div {per_statement}").alias("statement_id"),
-        ((F.col("user_id") * 97) % (last_slip + 1)).alias("ma_phieu_muon"),
-        F.explode(F.array(_event() % (last_book + 5), (_event() * 7) % (last_book + 1))).alias("ma_sach"),
-        plus_days(moment(AS_OF), V.DEFAULT_LOAN_DAYS).alias("ngay_tra_du_kien"),
-        F.lit(None).cast("timestamp_ntz").alias("ngay_tra_thuc_te"),
-        F.lit(V.DANG_MUON).alias("trang_thai_muon"),
-        F.lit(None).cast("string").alias("trang_thai_sach"),
+    events = raw(spark, sf_dir, "events").withColumns(
+        {
+            "n": _highest(spark, sf_dir, "part", "p_partkey"),
+            "m": _highest(spark, sf_dir, "orders", "o_orderkey"),
+        }
+    )
+    return events.selectExpr(
+        f"event_id div {per_statement} as statement_id",
+        "(user_id * 97) % (m + 1) as ma_phieu_muon",
+        "explode(array(event_id % (n + 5), (event_id * 7) % (n + 1))) as ma_sach",
+        f"{_NOW} + make_dt_interval({V.DEFAULT_LOAN_DAYS}) as ngay_tra_du_kien",
+        "cast(null as timestamp_ntz) as ngay_tra_thuc_te",
+        f"'{V.DANG_MUON}' as trang_thai_muon",
+        "cast(null as string) as trang_thai_sach",
     )
 
 
 def inserted_slips(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One new slip per event, three to a statement."""
-    return _events(spark, sf_dir).select(
-        F.expr("event_id div 3").alias("statement_id"),
-        _event().alias("ma_phieu_muon"),
-        moment(AS_OF).alias("ngay_lap"),
-        F.lit(1).alias("tong_so_sach_muon"),
-        (F.col("user_id") * 10 + _event() % 11).alias("ma_the"),
-        (_event() % 25).alias("ma_nhan_vien"),
+    return raw(spark, sf_dir, "events").selectExpr(
+        "event_id div 3 as statement_id",
+        "event_id as ma_phieu_muon",
+        f"{_NOW} as ngay_lap",
+        "1 as tong_so_sach_muon",
+        _CARD_OF_EVENT,
+        "event_id % 25 as ma_nhan_vien",
     )
 
 
 def inserted_extensions(tables: Tables) -> DataFrame:
     """A new extension request for every loan line, one statement per slip."""
-    return tables.chi_tiet.select(
-        F.col("ma_phieu_muon").alias("statement_id"), "ma_phieu_muon", "ma_sach",
-        moment(AS_OF).alias("ngay_tao"),
-        plus_days(F.col("ngay_tra_du_kien"), 14).alias("ngay_gia_han"),
-        F.lit(V.CHO).alias("trang_thai"),
+    return tables.chi_tiet.selectExpr(
+        "ma_phieu_muon as statement_id",
+        "ma_phieu_muon",
+        "ma_sach",
+        f"{_NOW} as ngay_tao",
+        "ngay_tra_du_kien + interval '14' day as ngay_gia_han",
+        f"'{V.CHO}' as trang_thai",
+    )
+
+
+def _people(table: DataFrame, key: str, shift: int, cccd: str, phone: str) -> DataFrame:
+    return table.selectExpr(
+        f"{key} as statement_id", f"{key} + {shift} as {key}", "ho_ten",
+        f"cast({cccd} as string) as cccd", f"cast({phone} as string) as so_dien_thoai",
     )
 
 
 def inserted_readers(tables: Tables) -> DataFrame:
     """A new reader per stored one; some share a stored identity number or phone."""
-    key = F.col("ma_doc_gia")
-    return tables.doc_gia.select(
-        key.alias("statement_id"), (key + 1_000_000_000).alias("ma_doc_gia"), "ho_ten",
-        (key * 2 + 2_000_000_000).cast("string").alias("cccd"),
-        (key * 3 + 9_000_000_000).cast("string").alias("so_dien_thoai"),
+    return _people(
+        tables.doc_gia, "ma_doc_gia", 1_000_000_000,
+        "ma_doc_gia * 2 + 2000000000", "ma_doc_gia * 3 + 9000000000",
     )
 
 
 def inserted_staff(tables: Tables) -> DataFrame:
-    key = F.col("ma_nhan_vien")
-    return tables.nhan_vien.select(
-        key.alias("statement_id"), (key + 1_000_000).alias("ma_nhan_vien"), "ho_ten",
-        (key * 2 + 1_000_000_000).cast("string").alias("cccd"),
-        (key * 3 + 8_000_000_000).cast("string").alias("so_dien_thoai"),
+    return _people(
+        tables.nhan_vien, "ma_nhan_vien", 1_000_000,
+        "ma_nhan_vien * 2 + 1000000000", "ma_nhan_vien * 3 + 8000000000",
     )
 
 
 def changed_readers(tables: Tables) -> DataFrame:
     """Every reader keeps the identity number and takes a phone twice as far along."""
-    key = F.col("ma_doc_gia")
-    return tables.doc_gia.select(
-        key.alias("statement_id"), "ma_doc_gia", "cccd",
-        (key * 2 + 9_000_000_000).cast("string").alias("so_dien_thoai"),
-    )
+    return _people(tables.doc_gia, "ma_doc_gia", 0, "cccd", "ma_doc_gia * 2 + 9000000000")
 
 
 def changed_staff(tables: Tables) -> DataFrame:
-    key = F.col("ma_nhan_vien")
-    return tables.nhan_vien.select(
-        key.alias("statement_id"), "ma_nhan_vien", "cccd",
-        (key * 2 + 8_000_000_000).cast("string").alias("so_dien_thoai"),
-    )
+    return _people(tables.nhan_vien, "ma_nhan_vien", 0, "cccd", "ma_nhan_vien * 2 + 8000000000")
 
 
 def returned_lines(tables: Tables) -> DataFrame:
     """Every loan line set to returned, in a state that depends on the book; one statement per slip."""
-    pick = F.col("ma_sach") % 3
-    return tables.chi_tiet.select(
-        F.col("ma_phieu_muon").alias("statement_id"), "ma_phieu_muon", "ma_sach",
-        F.when(F.col("ma_sach") % 2 == 0, V.DA_TRA).otherwise(V.HOAN_THANH).alias("trang_thai_muon"),
-        F.when(pick == 0, V.TOT).when(pick == 1, V.NGUYEN_VEN).otherwise(V.HONG).alias("trang_thai_sach"),
+    return tables.chi_tiet.selectExpr(
+        "ma_phieu_muon as statement_id",
+        "ma_phieu_muon",
+        "ma_sach",
+        f"if(ma_sach % 2 = 0, '{V.DA_TRA}', '{V.HOAN_THANH}') as trang_thai_muon",
+        f"""case ma_sach % 3 when 0 then '{V.TOT}' when 1 then '{V.NGUYEN_VEN}' else '{V.HONG}' end
+            as trang_thai_sach""",
     )

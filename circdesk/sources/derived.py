@@ -7,16 +7,17 @@ lines. Every row of the source tables takes part. The expressions have an SQL tw
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from circdesk.functions.dates import moment, plus_days
 from circdesk.model import vocab as V
-from circdesk.model.schema import columns
 from circdesk.model.tables import Tables
 
 AS_OF = "2001-08-01 00:00:00"
 LINE_ID_SPAN = 1_000_000_000  # line id = slip id * span + book id
+LINE_ID = f"ma_phieu_muon * {LINE_ID_SPAN} + ma_sach"
 CATEGORIES = ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")
 
 _RAW = {
@@ -35,175 +36,162 @@ _RAW = {
     ),
     "supplier": "s_suppkey bigint, s_name string",
 }
+_NO_TEXT = "cast(null as string)"
+_CATEGORY = (
+    "cast(case p_type "
+    + " ".join(f"when '{name}' then {i}" for i, name in enumerate(CATEGORIES, start=1))
+    + " end as bigint)"
+)
 
 
 def raw(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(_RAW[name]).parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def _text(value: str | None = None) -> Column:
-    return F.lit(value).cast("string")
-
-
-def _category_of(part_type: Column) -> Column:
-    number = F.lit(None).cast("bigint")
-    for i, name in enumerate(CATEGORIES, start=1):
-        number = F.when(part_type == name, F.lit(i).cast("bigint")).otherwise(number)
-    return number
+def _exprs(*texts: str) -> list[Column]:
+    return [F.expr(t) for t in texts]
 
 
-def _people(source: DataFrame, key: Column, name: Column, id_base: int, phone_base: int,
-            login: str) -> list[Column]:
-    key = key.cast("bigint")
+def _person(key: str, name: str, id_base: int, phone_base: int, login: str) -> list[str]:
     return [
-        name.alias("ho_ten"),
-        F.lit(None).cast("timestamp_ntz").alias("ngay_sinh"),
-        _text().alias("dia_chi"),
-        (key + id_base).cast("string").alias("cccd"),
-        (key + phone_base).cast("string").alias("so_dien_thoai"),
-        F.concat(F.lit(login), key.cast("string")).alias("username"),
-        F.concat(F.lit("h"), key.cast("string")).alias("password"),
-        F.lit(V.HOAT_DONG).alias("trang_thai"),
+        f"{name} as ho_ten",
+        "cast(null as timestamp_ntz) as ngay_sinh",
+        f"{_NO_TEXT} as dia_chi",
+        f"cast(cast({key} as bigint) + {id_base} as string) as cccd",
+        f"cast(cast({key} as bigint) + {phone_base} as string) as so_dien_thoai",
+        f"concat('{login}', {key}) as username",
+        f"concat('h', {key}) as password",
+        f"'{V.HOAT_DONG}' as trang_thai",
     ]
 
 
 def loan_lines(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
-    """One line per (order, part). Grouped before the join, so a huge order spreads over its parts."""
+    """One line per (order, part). Grouped before the join, so a huge order spreads over its parts.
+
+    The one-letter flags are compared by code: minima of numbers stay in the hash aggregate,
+    minima of strings would sort.
+    """
     grouped = lineitem.groupBy("l_orderkey", "l_partkey").agg(
-        F.min("l_linenumber").alias("ln"),
-        F.min(F.col("l_quantity").cast("int")).alias("q"),
-        F.min("l_returnflag").alias("rf"),
-        F.min("l_linestatus").alias("ls"),
-        F.min(F.round(F.col("l_discount") * 100).cast("int")).alias("di"),
-        F.min(F.round(F.col("l_tax") * 100).cast("int")).alias("tx"),
-    )
-    start = F.col("o_orderdate")
-    due = plus_days(start, V.DEFAULT_LOAN_DAYS)
-    is_open = (
-        (F.col("rf") == "N")
-        & (F.col("ls") == "O")
-        & ((start >= moment("2001-01-01 00:00:00")) | (F.col("q") == 50))
-    )
-    status = (
-        F.when(is_open & (F.col("ln") == 7), V.DAT_TRUOC)
-        .when(is_open & (F.col("ln") == 3), V.DA_GIA_HAN)
-        .when(is_open & (due < moment(AS_OF)) & (F.col("ln") % 2 == 1), V.TRE_HAN)
-        .when(is_open, V.DANG_MUON)
-        .when((F.col("q") <= 14) & (F.col("ls") == "F"), V.HOAN_THANH)
-        .when(F.col("q") <= 14, V.DA_TRA)
-        .when((F.col("q") == 16) & (F.col("di") == 10), V.TRE_HAN)
-        .otherwise(V.TRA_TRE)
+        *_exprs(
+            "min(l_linenumber) as ln",
+            "min(cast(l_quantity as int)) as q",
+            "min(ascii(l_returnflag)) as rf",
+            "min(ascii(l_linestatus)) as ls",
+            "min(cast(round(l_discount * 100) as int)) as di",
+            "min(cast(round(l_tax * 100) as int)) as tx",
+        )
     )
-    condition = (
-        F.when(is_open, _text())
-        .when((F.col("di") == 10) & (F.col("tx") == 8), V.MAT)
-        .when(F.col("di") == 10, V.HONG)
-        .otherwise(V.TOT)
+    dated = grouped.join(
+        orders.selectExpr("o_orderkey as l_orderkey", "o_orderdate"), "l_orderkey"
+    ).selectExpr(
+        "*",
+        "o_orderdate + interval '14' day as due",
+        "rf = ascii('N') and ls = ascii('O') and "
+        "(o_orderdate >= timestamp_ntz '2001-01-01 00:00:00' or q = 50) as is_open",
     )
-    dates = orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_orderdate")
-    return grouped.join(dates, "l_orderkey").select(
-        F.col("l_orderkey").alias("ma_phieu_muon"),
-        F.col("l_partkey").alias("ma_sach"),
-        due.alias("ngay_tra_du_kien"),
-        F.when(~is_open, plus_days(start, F.col("q"))).alias("ngay_tra_thuc_te"),
-        status.alias("trang_thai_muon"),
-        condition.alias("trang_thai_sach"),
+    return dated.selectExpr(
+        "l_orderkey as ma_phieu_muon",
+        "l_partkey as ma_sach",
+        "due as ngay_tra_du_kien",
+        "case when not is_open then o_orderdate + make_dt_interval(q) end as ngay_tra_thuc_te",
+        f"""case when is_open and ln = 7 then '{V.DAT_TRUOC}'
+                 when is_open and ln = 3 then '{V.DA_GIA_HAN}'
+                 when is_open and due < timestamp_ntz '{AS_OF}' and ln % 2 = 1 then '{V.TRE_HAN}'
+                 when is_open then '{V.DANG_MUON}'
+                 when q <= 14 and ls = ascii('F') then '{V.HOAN_THANH}'
+                 when q <= 14 then '{V.DA_TRA}'
+                 when q = 16 and di = 10 then '{V.TRE_HAN}'
+                 else '{V.TRA_TRE}' end as trang_thai_muon""",
+        f"""case when is_open then null
+                 when di = 10 and tx = 8 then '{V.MAT}'
+                 when di = 10 then '{V.HONG}'
+                 else '{V.TOT}' end as trang_thai_sach""",
     )
 
 
 def extension_requests(chi_tiet: DataFrame) -> DataFrame:
     """A request for every line still open or returned late."""
-    is_open = F.col("ngay_tra_thuc_te").isNull()
-    due = F.col("ngay_tra_du_kien")
-    pick = (F.col("ma_phieu_muon") + F.col("ma_sach")) % 3
-    return chi_tiet.where(is_open | (F.col("trang_thai_muon") == V.TRA_TRE)).select(
-        line_id().alias("ma_yeu_cau"),
+    return chi_tiet.where(
+        f"ngay_tra_thuc_te is null or trang_thai_muon = '{V.TRA_TRE}'"
+    ).selectExpr(
+        f"{LINE_ID} as ma_yeu_cau",
         "ma_phieu_muon",
         "ma_sach",
-        F.when(is_open, plus_days(moment(AS_OF), -(F.col("ma_sach") % 8).cast("int")))
-        .otherwise(plus_days(due, -(F.col("ma_sach") % 15).cast("int")))
-        .alias("ngay_tao"),
-        plus_days(due, 14).alias("ngay_gia_han"),
-        F.when(pick == 0, V.CHO).when(pick == 1, V.DA_DUYET).otherwise(V.TU_CHOI).alias("trang_thai"),
+        f"""case when ngay_tra_thuc_te is null
+                 then timestamp_ntz '{AS_OF}' - make_dt_interval(cast(ma_sach % 8 as int))
+                 else ngay_tra_du_kien - make_dt_interval(cast(ma_sach % 15 as int))
+            end as ngay_tao""",
+        "ngay_tra_du_kien + interval '14' day as ngay_gia_han",
+        f"""case (ma_phieu_muon + ma_sach) % 3 when 0 then '{V.CHO}' when 1 then '{V.DA_DUYET}'
+            else '{V.TU_CHOI}' end as trang_thai""",
     )
 
 
-def line_id() -> Column:
-    return F.col("ma_phieu_muon") * LINE_ID_SPAN + F.col("ma_sach")
-
-
 def derived_library(spark: SparkSession, sf_dir: str) -> Tables:
-    part, customer = raw(spark, sf_dir, "part"), raw(spark, sf_dir, "customer")
-    orders, lineitem = raw(spark, sf_dir, "orders"), raw(spark, sf_dir, "lineitem")
-    nation, supplier = raw(spark, sf_dir, "nation"), raw(spark, sf_dir, "supplier")
-
-    chi_tiet = loan_lines(lineitem, orders)
-    lines_of_slip = chi_tiet.groupBy("ma_phieu_muon").agg(F.count(F.lit(1)).alias("_n"))
-    staff_key, reader_key = F.col("n_nationkey"), F.col("c_custkey")
-    text = (
-        F.when(F.col("o_orderkey") % 4 == 0, V.TEXT_LATE)
-        .when(F.col("o_orderkey") % 4 == 1, V.TEXT_LOST)
-        .when(F.col("o_orderkey") % 4 == 2, V.TEXT_DAMAGED)
-        .otherwise(V.TEXT_CARD)
-    )
-    tables = {
-        "the_loai": part.select("p_type").distinct().select(
-            _category_of(F.col("p_type")).alias("ma_the_loai"),
-            F.col("p_type").alias("ten_the_loai"),
-            _text().alias("mo_ta"),
+    @cache
+    def source(name: str) -> DataFrame:
+        return raw(spark, sf_dir, name)
+
+    @cache
+    def chi_tiet() -> DataFrame:
+        return loan_lines(source("lineitem"), source("orders"))
+
+    def phieu_muon() -> DataFrame:
+        counts = chi_tiet().groupBy("ma_phieu_muon").agg(*_exprs("count(1) as n"))
+        slips = source("orders").withColumnRenamed("o_orderkey", "ma_phieu_muon")
+        return slips.join(counts, "ma_phieu_muon", "left").selectExpr(
+            "ma_phieu_muon",
+            "o_orderdate as ngay_lap",
+            "cast(coalesce(n, 0) as int) as tong_so_sach_muon",
+            "o_custkey as ma_the",
+            "ma_phieu_muon % 25 as ma_nhan_vien",
+        )
+
+    return Tables(
+        the_loai=lambda: source("part").select("p_type").distinct().selectExpr(
+            f"{_CATEGORY} as ma_the_loai", "p_type as ten_the_loai", f"{_NO_TEXT} as mo_ta"
         ),
-        "sach": part.select(
-            F.col("p_partkey").alias("ma_sach"),
-            F.col("p_name").alias("ten_sach"),
-            _text().alias("hinh_anh"),
-            _text().alias("mo_ta"),
-            F.col("p_brand").alias("nha_xuat_ban"),
-            (F.col("p_size") % 4).alias("so_luong"),
-            F.col("p_retailprice").cast("decimal(10,2)").alias("don_gia"),
-            _category_of(F.col("p_type")).alias("ma_the_loai"),
+        sach=lambda: source("part").selectExpr(
+            "p_partkey as ma_sach",
+            "p_name as ten_sach",
+            f"{_NO_TEXT} as hinh_anh",
+            f"{_NO_TEXT} as mo_ta",
+            "p_brand as nha_xuat_ban",
+            "p_size % 4 as so_luong",
+            "cast(p_retailprice as decimal(10,2)) as don_gia",
+            f"{_CATEGORY} as ma_the_loai",
         ),
-        "tac_gia": supplier.select(
-            F.col("s_suppkey").alias("ma_tac_gia"),
-            F.col("s_name").alias("ten_tac_gia"),
-            _text().alias("mo_ta"),
+        tac_gia=lambda: source("supplier").selectExpr(
+            "s_suppkey as ma_tac_gia", "s_name as ten_tac_gia", f"{_NO_TEXT} as mo_ta"
         ),
-        "tac_gia_sach": lineitem.select(
-            F.col("l_suppkey").alias("ma_tac_gia"), F.col("l_partkey").alias("ma_sach")
+        tac_gia_sach=lambda: source("lineitem").selectExpr(
+            "l_suppkey as ma_tac_gia", "l_partkey as ma_sach"
         ).distinct(),
-        "nhan_vien": nation.select(
-            staff_key.cast("bigint").alias("ma_nhan_vien"),
-            *_people(nation, staff_key, F.col("n_name"), 1_000_000_000, 8_000_000_000, "nv"),
+        nhan_vien=lambda: source("nation").selectExpr(
+            "cast(n_nationkey as bigint) as ma_nhan_vien",
+            *_person("n_nationkey", "n_name", 1_000_000_000, 8_000_000_000, "nv"),
         ),
-        "doc_gia": customer.select(
-            reader_key.alias("ma_doc_gia"),
-            *_people(customer, reader_key, F.col("c_name"), 2_000_000_000, 9_000_000_000, "dg"),
+        doc_gia=lambda: source("customer").selectExpr(
+            "c_custkey as ma_doc_gia",
+            *_person("c_custkey", "c_name", 2_000_000_000, 9_000_000_000, "dg"),
         ),
-        "the_thu_vien": customer.select(
-            reader_key.alias("ma_the"),
-            plus_days(moment("2001-07-01 00:00:00"), (reader_key % 400).cast("int")).alias(
-                "ngay_het_han"
-            ),
-            F.when(F.col("c_acctbal") < 0, V.BI_KHOA).otherwise(V.HOAT_DONG).alias("trang_thai"),
-            reader_key.alias("ma_doc_gia"),
+        the_thu_vien=lambda: source("customer").selectExpr(
+            "c_custkey as ma_the",
+            "timestamp_ntz '2001-07-01 00:00:00' + make_dt_interval(cast(c_custkey % 400 as int)) "
+            "as ngay_het_han",
+            f"if(c_acctbal < 0, '{V.BI_KHOA}', '{V.HOAT_DONG}') as trang_thai",
+            "c_custkey as ma_doc_gia",
         ),
-        "phieu_muon": orders.join(
-            lines_of_slip.withColumnRenamed("ma_phieu_muon", "o_orderkey"), "o_orderkey", "left"
-        ).select(
-            F.col("o_orderkey").alias("ma_phieu_muon"),
-            F.col("o_orderdate").alias("ngay_lap"),
-            F.coalesce("_n", F.lit(0)).cast("int").alias("tong_so_sach_muon"),
-            F.col("o_custkey").alias("ma_the"),
-            (F.col("o_orderkey") % 25).alias("ma_nhan_vien"),
+        phieu_muon=phieu_muon,
+        chi_tiet=chi_tiet,
+        hoa_don=lambda: source("orders").selectExpr(
+            "o_orderkey as ma_hoa_don",
+            "o_orderdate as ngay_lap",
+            "cast(o_totalprice as decimal(18,2)) as so_tien",
+            f"""case o_orderkey % 4 when 0 then '{V.TEXT_LATE}' when 1 then '{V.TEXT_LOST}'
+                when 2 then '{V.TEXT_DAMAGED}' else '{V.TEXT_CARD}' end as noi_dung""",
+            "o_custkey as ma_doc_gia",
+            "o_orderkey % 25 as ma_nhan_vien",
         ),
-        "chi_tiet": chi_tiet,
-        "hoa_don": orders.select(
-            F.col("o_orderkey").alias("ma_hoa_don"),
-            F.col("o_orderdate").alias("ngay_lap"),
-            F.col("o_totalprice").cast("decimal(18,2)").alias("so_tien"),
-            text.alias("noi_dung"),
-            F.col("o_custkey").alias("ma_doc_gia"),
-            (F.col("o_orderkey") % 25).alias("ma_nhan_vien"),
-        ),
-        "yeu_cau_gia_han": extension_requests(chi_tiet),
-    }
-    return Tables(**{name: df.select(*columns(name)) for name, df in tables.items()})
+        yeu_cau_gia_han=lambda: extension_requests(chi_tiet()),
+    )

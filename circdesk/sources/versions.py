@@ -8,62 +8,79 @@ nothing visible. Tables that did not change keep their old place.
 from __future__ import annotations
 
 import uuid
+from dataclasses import dataclass, field
+from functools import partial
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from circdesk.model.schema import schema
+from circdesk.model.schema import columns
 from circdesk.model.tables import Tables
+from circdesk.sources.library import read_table
 
-_LIST = "release bigint, bang string, noi_luu string"
+_LIST = "release bigint, nguon string, bang string, noi_luu string"
 
 
-def _lists(base: str) -> str:
-    return f"{base.rstrip('/')}/_releases"
+@dataclass(frozen=True)
+class Release:
+    number: int = 0
+    places: dict[str, str] = field(default_factory=dict)  # table name -> folder
 
 
-def current_release(spark: SparkSession, base: str) -> dict[str, str]:
-    """Folder of each table in the newest complete release; empty before the first one.
-
-    The list holds one row per table and release, so what reaches the driver is eleven rows.
-    """
+def _lists(spark: SparkSession, base: str) -> DataFrame | None:
     try:
-        listed = spark.read.schema(_LIST).parquet(_lists(base))
-    except Exception as error:  # no release yet
-        if "PATH_NOT_FOUND" in str(error):
-            return {}
+        return spark.read.schema(_LIST).parquet(f"{base.rstrip('/')}/_releases")
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return None
         raise
-    newest = listed.select(F.max("release")).scalar()
-    rows = listed.where(F.col("release") == newest).collect()
-    return {r.bang: r.noi_luu for r in rows} | ({"": str(rows[0].release)} if rows else {})
+
+
+def current_release(spark: SparkSession, base: str) -> Release:
+    """The newest complete release; number 0 before the first one. Eleven rows reach the driver."""
+    lists = _lists(spark, base)
+    if lists is None:
+        return Release()
+    rows = lists.where(F.col("release") == lists.select(F.max("release")).scalar()).collect()
+    return Release(rows[0].release, {r.bang: r.noi_luu for r in rows})
+
+
+def is_published(spark: SparkSession, base: str, source: str) -> bool:
+    """Whether the named piece of input is already part of a release."""
+    lists = _lists(spark, base)
+    return lists is not None and not lists.where(F.col("nguon") == source).isEmpty()
 
 
 def read_release(spark: SparkSession, base: str) -> Tables:
-    places = current_release(spark, base)
-    if not places:
+    release = current_release(spark, base)
+    if not release.number:
         raise FileNotFoundError(f"no release under {base}")
     return Tables(
-        **{n: spark.read.schema(schema(n)).parquet(places[n]) for n in Tables.names()}
+        **{n: partial(read_table, spark, release.places[n], n) for n in Tables.names()}
     )
 
 
-def publish(spark: SparkSession, base: str, **changed: DataFrame) -> int:
+def publish(
+    spark: SparkSession, base: str, changed: dict[str, DataFrame], source: str | None = None
+) -> int:
     """Write the changed tables and make them the newest release; gives its number.
 
-    One writer at a time per base folder.
+    ``source`` names the input the changes come from, for ``is_published``. One writer at a time
+    per base folder.
     """
-    places = current_release(spark, base)
-    number = int(places.pop("", "0")) + 1
     unknown = set(changed) - set(Tables.names())
     if unknown:
         raise ValueError(f"unknown tables: {sorted(unknown)}")
-    for name, df in changed.items():
-        folder = f"{base.rstrip('/')}/{name}/{number}-{uuid.uuid4().hex}"
-        df.select(*schema(name).names).write.parquet(folder)
-        places[name] = folder
-    missing = [n for n in Tables.names() if n not in places]
+    before = current_release(spark, base)
+    missing = set(Tables.names()) - set(before.places) - set(changed)
     if missing:
-        raise ValueError(f"the first release needs every table, missing: {missing}")
-    rows = [(number, name, place) for name, place in sorted(places.items())]
-    spark.createDataFrame(rows, _LIST).coalesce(1).write.mode("append").parquet(_lists(base))
+        raise ValueError(f"the first release needs every table, missing: {sorted(missing)}")
+    number, places = before.number + 1, dict(before.places)
+    for name, df in changed.items():
+        places[name] = f"{base.rstrip('/')}/{name}/{number}-{uuid.uuid4().hex}"
+        df.select(*columns(name)).write.parquet(places[name])
+    rows = [(number, source, name, place) for name, place in sorted(places.items())]
+    lists = spark.createDataFrame(rows, _LIST).coalesce(1)
+    lists.write.mode("append").parquet(f"{base.rstrip('/')}/_releases")
     return number

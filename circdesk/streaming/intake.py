@@ -18,7 +18,7 @@ from circdesk.operators.batches import process_returns
 from circdesk.operators.deltas import add_to_stock, append_rows, apply_changes
 from circdesk.operators.lending import create_loans
 from circdesk.operators.measures import AsOf
-from circdesk.sources.versions import publish, read_release
+from circdesk.sources.versions import is_published, publish, read_release
 
 Step = Callable[[Tables, DataFrame], dict[str, DataFrame]]
 
@@ -59,16 +59,23 @@ def returns_step(as_of: AsOf, so_luong_is: str = "total", vocab: str = "canonica
     return step
 
 
-def run_step(spark: SparkSession, base: str, step: Step, requests: DataFrame) -> int:
+def run_step(
+    spark: SparkSession, base: str, step: Step, requests: DataFrame, source: str | None = None
+) -> int:
     """One batch against the newest release."""
-    return publish(spark, base, **step(read_release(spark, base), requests))
+    return publish(spark, base, step(read_release(spark, base), requests), source)
 
 
-def intake(requests: DataFrame, base: str, step: Step) -> DataStreamWriter:
-    """A streaming writer that runs ``step`` on every micro-batch of ``requests``."""
+def intake(requests: DataFrame, base: str, step: Step, name: str) -> DataStreamWriter:
+    """A streaming writer that runs ``step`` on every micro-batch of ``requests``.
 
-    def handle(batch: DataFrame, _: int) -> None:
-        if not batch.isEmpty():
-            run_step(batch.sparkSession, base, step, batch)
+    A micro-batch that is replayed after a failure is recognised by its number under ``name`` and
+    not applied again.
+    """
 
-    return requests.writeStream.foreachBatch(handle)
+    def handle(batch: DataFrame, epoch: int) -> None:
+        spark, source = batch.sparkSession, f"{name}:{epoch}"
+        if not is_published(spark, base, source) and not batch.isEmpty():
+            run_step(spark, base, step, batch, source)
+
+    return requests.writeStream.queryName(name).foreachBatch(handle)
