@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from circdesk.operators.ordering import BLOCK, totals_before
 from circdesk.operators.scratch import durable
-from circdesk.operators.skew import spread_join
+from circdesk.operators.skew import ROWS_PER_TASK, spread_join
 
 KEY = ["loai", "khoa"]
 CLAIM = ["request_id", "seq", BLOCK, *KEY, "so_luong", "suc_chua"]
@@ -28,32 +28,47 @@ CLAIM = ["request_id", "seq", BLOCK, *KEY, "so_luong", "suc_chua"]
 def contended_claims(claims: DataFrame) -> DataFrame:
     """Claims on keys whose total demand exceeds their capacity; null capacity is unlimited.
 
-    Everything else fits whatever happens and stays out of the rounds.
+    Everything else fits whatever happens and stays out of the rounds. ``_n`` is the number of
+    claims on the key.
     """
     tight = (
         claims.groupBy(*KEY)
-        .agg(F.sum("so_luong").alias("_demand"), F.max("suc_chua").alias("_room"))
+        .agg(
+            F.sum("so_luong").alias("_demand"),
+            F.max("suc_chua").alias("_room"),
+            F.count(F.lit(1)).alias("_rows"),
+        )
         .where(F.col("_demand") > F.col("_room"))
-        .select(*KEY)
+        .select(*KEY, "_rows", F.col("_rows").alias("_n"))
     )
-    return spread_join(claims.select(*CLAIM), tight, KEY, "left_semi")
+    return spread_join(claims.select(*CLAIM), tight, KEY, "inner", counted="_rows")
 
 
-def refused_requests(claims: DataFrame, few_claims: bool = False) -> DataFrame:
+def refused_requests(claims: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """Distinct ``request_id`` that do not fit; all other requests in ``claims`` do.
 
-    ``claims`` has the columns of ``CLAIM`` with one row per (request, key). ``few_claims`` states
-    that a request never has more than a handful of claims, so that one task may see all of them.
+    ``claims`` has the columns of ``CLAIM`` with one row per (request, key) and comes from files.
+    The rounds use plain windows when every key and request is known to be small enough for one
+    task, and split both otherwise; the results are the same.
     """
-    contended = durable(contended_claims(claims))
-    open_claims = contended.withColumn("_nhan", F.lit(False))
-    while not open_claims.where(~F.col("_nhan")).isEmpty():
-        open_claims = durable(_next_round(open_claims, few_claims))
-    admitted = open_claims.select("request_id").distinct()
-    return contended.select("request_id").distinct().join(admitted, "request_id", "left_anti")
-
-
-def _next_round(claims: DataFrame, few_claims: bool) -> DataFrame:
+    contended, size = durable(contended_claims(claims), key=F.max("_n"))
+    names = contended.select("request_id").distinct()
+    if not size["key"]:
+        return names
+    per_request = contended.groupBy("request_id").agg(F.count(F.lit(1)).alias("_n"))
+    largest = max(size["key"], per_request.agg(F.max("_n")).first()[0])
+    small = largest <= rows_per_task
+    left, waiting = contended.drop("_n").withColumn("_nhan", F.lit(False)), True
+    while waiting:
+        left = _next_round(left, small)
+        if small:  # acceptances of one pass let the next one reject; both fit in one plan
+            left = _next_round(left, small)
+        left, seen = durable(left, waiting=F.count_if(~F.col("_nhan")))
+        waiting = seen["waiting"] > 0
+    return names.join(left.select("request_id").distinct(), "request_id", "left_anti")
+
+
+def _next_round(claims: DataFrame, small: bool) -> DataFrame:
     """Mark newly accepted requests and leave out the rejected ones.
 
     Rejected claims are gone, so the plain running total is the pessimistic one and the total of
@@ -62,14 +77,14 @@ def _next_round(claims: DataFrame, few_claims: bool) -> DataFrame:
     amounts = claims.withColumn(
         "_da_nhan", F.when(F.col("_nhan"), F.col("so_luong")).otherwise(F.lit(0))
     )
-    rows = totals_before(amounts, KEY, ["so_luong", "_da_nhan"])
-    rows = rows.withColumns(
+    totals = totals_before(amounts, KEY, ["so_luong", "_da_nhan"], small_keys=small)
+    rows = totals.withColumns(
         {
             "_fits": F.col("so_luong_before") + F.col("so_luong") <= F.col("suc_chua"),
             "_fails": F.col("_da_nhan_before") + F.col("so_luong") > F.col("suc_chua"),
         }
     )
-    if few_claims:
+    if small:
         request = Window.partitionBy("request_id")
         rows = rows.withColumns(
             {
@@ -79,9 +94,11 @@ def _next_round(claims: DataFrame, few_claims: bool) -> DataFrame:
         )
     else:
         verdicts = rows.groupBy("request_id").agg(
-            F.min("_fits").alias("_all_fit"), F.max("_fails").alias("_any_fails")
+            F.min("_fits").alias("_all_fit"),
+            F.max("_fails").alias("_any_fails"),
+            F.count(F.lit(1)).alias("_n"),
         )
-        rows = spread_join(rows, verdicts, ["request_id"], "inner")
+        rows = spread_join(rows, verdicts, ["request_id"], "inner", counted="_n")
     return (
         rows.where(F.col("_nhan") | ~F.col("_any_fails"))
         .withColumn("_nhan", F.col("_nhan") | F.col("_all_fit"))

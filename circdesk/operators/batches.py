@@ -23,6 +23,7 @@ from circdesk.operators.checks import restock_of_changes, with_statement
 from circdesk.operators.deltas import apply_changes
 from circdesk.operators.measures import AsOf, cards_in_debt
 from circdesk.operators.ordering import highest_id, in_blocks, number_chosen
+from circdesk.operators.scratch import durable
 from circdesk.operators.skew import spread_join
 
 LINE = ["ma_phieu_muon", "ma_sach"]
@@ -38,17 +39,17 @@ def mark_earlier_success(rows: DataFrame, key: Sequence[str]) -> DataFrame:
     """Add ``_sau``: an earlier request of the batch already succeeded on the same key.
 
     The first success per key is a partial minimum, so a key with many requests is combined
-    before it is shuffled.
+    before it is shuffled. ``rows`` is read twice and should come from files.
     """
-    first = (
-        rows.where(F.col("ly_do").isNull())
-        .groupBy(*key)
-        .agg(F.min(request_place()).alias("_first"))
+    place = F.when(F.col("ly_do").isNull(), request_place())
+    first = rows.groupBy(*key).agg(
+        F.min(place).alias("_first"), F.count(F.lit(1)).alias("_n")
+    ).where(F.col("_first").isNotNull())
+    return (
+        spread_join(rows, first, key, "left", counted="_n")
+        .withColumn("_sau", F.coalesce(request_place() > F.col("_first"), F.lit(False)))
+        .drop("_first")
     )
-    marked = spread_join(rows, first, key, "left")
-    return marked.withColumn(
-        "_sau", F.coalesce(request_place() > F.col("_first"), F.lit(False))
-    ).drop("_first")
 
 
 # -- extensions ---------------------------------------------------------------
@@ -97,7 +98,7 @@ def apply_extensions(tables: Tables, requests: DataFrame) -> Extensions:
         Check("line_not_found", F.col("_co_dong").isNull(), MSG_LINE_UNKNOWN),
     ]
     code, _ = first_failing([*first_checks, *line_checks])
-    marked = mark_earlier_success(facts.withColumn("ly_do", code), LINE)
+    marked = mark_earlier_success(durable(facts.withColumn("ly_do", code)), LINE)
 
     taken = Check("already_extended", F.col("_sau"), MSG_EXT_TWICE)
     code, message = first_failing([*first_checks, taken, *line_checks])
@@ -217,31 +218,27 @@ def process_returns(
         Check("bad_condition", F.col("_tt_sach").isNull(), MSG_CONDITION),
     ]
     code, _ = first_failing([unknown, *later_checks])
-    marked = mark_earlier_success(facts.withColumn("ly_do", code), LINE)
+    books = tables.sach.select("ma_sach", "don_gia", F.lit(True).alias("_co_sach"))
+    # The joins with the stored tables run once; ids and all four outputs go on from the files.
+    batch = in_blocks(
+        facts.withColumn("ly_do", code)
+        .join(books, "ma_sach", "left")
+        .join(tables.phieu_muon.select("ma_phieu_muon", "ma_the"), "ma_phieu_muon", "left")
+        .join(tables.the_thu_vien.select("ma_the", "ma_doc_gia"), "ma_the", "left")
+    )
     taken = Check("already_returned", F.col("_sau"), MSG_RETURNED)
     code, message = first_failing([unknown, taken, *later_checks])
-
-    books = tables.sach.select("ma_sach", "don_gia", F.lit(True).alias("_co_sach"))
     fine = F.when(
-        F.col("ly_do").isNull() & F.col("_co_sach"),
+        F.col("_co_sach"),
         replacement_fine(
             F.col("ngay_tra_du_kien"), now, F.col("don_gia"), F.col("_tt_sach"), now
         ),
-    ).when(F.col("ly_do").isNull(), F.lit(0).cast("decimal(18,2)"))
-    # The joins with the stored tables run once; ids and all four outputs go on from the files.
-    settled = in_blocks(
-        marked.withColumns({"ly_do": code, "_loi": message})
-        .join(books, "ma_sach", "left")
-        .join(tables.phieu_muon.select("ma_phieu_muon", "ma_the"), "ma_phieu_muon", "left")
-        .join(tables.the_thu_vien.select("ma_the", "ma_doc_gia"), "ma_the", "left")
-        .withColumn("tien_phat", fine)
-        .withColumn(
-            "_tt_muon", F.when(F.col("_tre") <= 0, V.HOAN_THANH).otherwise(V.TRA_TRE)
-        )
-        .select(
-            "request_id", "seq", *LINE, "ma_nhan_vien", "ma_doc_gia", "ly_do", "_loi",
-            "_tre", "_tt_muon", "_tt_sach", "trang_thai_muon", "tien_phat",
-        )
+    ).otherwise(F.lit(0).cast("decimal(18,2)"))
+    settled = (
+        mark_earlier_success(batch, LINE)
+        .withColumns({"ly_do": code, "_loi": message})
+        .withColumn("tien_phat", F.when(F.col("ly_do").isNull(), fine))
+        .withColumn("_tt_muon", F.when(F.col("_tre") <= 0, V.HOAN_THANH).otherwise(V.TRA_TRE))
     )
     numbered = number_chosen(
         settled, F.col("tien_phat") > 0, highest_id(tables.hoa_don, "ma_hoa_don"), "ma_hoa_don"
@@ -316,7 +313,9 @@ def patch_accounts(
         place = F.when(F.col(column).isNotNull(), request_place())
         return F.max_by(column, place).alias(column)
 
-    wanted = asked.groupBy("_ten").agg(last("password_moi"), last("trang_thai_moi"))
+    wanted = asked.groupBy("_ten").agg(
+        last("password_moi"), last("trang_thai_moi"), F.count(F.lit(1)).alias("_n")
+    )
 
     def changes(people: DataFrame, key: str, todo: DataFrame) -> DataFrame:
         return (
@@ -333,14 +332,15 @@ def patch_accounts(
     reader_names = tables.doc_gia.select(name.alias("_ten")).distinct()
     for_readers = wanted.join(staff_names, "_ten", "left_anti")
     target = (
-        wanted.select("_ten")
+        wanted.select("_ten", "_n")
         .join(staff_names.withColumn("_nv", F.lit(True)), "_ten", "left")
         .join(reader_names.withColumn("_dg", F.lit(True)), "_ten", "left")
         .select(
-            "_ten", F.when(F.col("_nv"), "nhan_vien").when(F.col("_dg"), "doc_gia").alias("doi_tuong")
+            "_ten", "_n",
+            F.when(F.col("_nv"), "nhan_vien").when(F.col("_dg"), "doc_gia").alias("doi_tuong"),
         )
     )
-    outcome = spread_join(asked, target, ["_ten"], "left").select(
+    outcome = spread_join(asked, target, ["_ten"], "left", counted="_n").select(
         "request_id", "seq", F.col("doi_tuong").isNotNull().alias("thanh_cong"),
         F.when(F.col("doi_tuong").isNull(), "not_found").alias("ly_do"), "doi_tuong",
     )
@@ -382,11 +382,12 @@ def readers_holding(tables: Tables) -> DataFrame:
 
 def cancel_cards(tables: Tables, requests: DataFrame) -> CardCancellations:
     """Cancel all cards of readers without open loans and disable their accounts."""
+    asked = requests.groupBy("ma_doc_gia").agg(F.count(F.lit(1)).alias("_n"))
     state = (
-        tables.doc_gia.select("ma_doc_gia", F.lit(True).alias("_co"))
+        asked.join(tables.doc_gia.select("ma_doc_gia", F.lit(True).alias("_co")), "ma_doc_gia")
         .join(readers_holding(tables).withColumn("_giu", F.lit(True)), "ma_doc_gia", "left")
     )
-    facts = spread_join(requests, state, ["ma_doc_gia"], "left")
+    facts = spread_join(requests, state, ["ma_doc_gia"], "left", counted="_n")
     code, message = first_failing(
         [
             Check("not_found", F.col("_co").isNull(), F.lit(None).cast("string")),

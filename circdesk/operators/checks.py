@@ -48,9 +48,12 @@ def with_statement(rows: DataFrame) -> DataFrame:
 
 
 def without_statements(rows: DataFrame, violations: DataFrame) -> DataFrame:
-    """Rows whose statement has no violation; one statement may hold most of the batch."""
-    bad = violations.select("statement_id").distinct()
-    return spread_join(rows, bad, ["statement_id"], "left_anti")
+    """Rows whose statement has no violation.
+
+    One statement may hold most of the batch. The offending ids are left unaggregated, so that AQE
+    finds a plain shuffle on both sides and can split that statement's rows.
+    """
+    return rows.join(violations.select("statement_id"), "statement_id", "left_anti")
 
 
 def _checked(rows: DataFrame, violations: DataFrame) -> Checked:
@@ -69,7 +72,7 @@ def check_stock(tables: Tables, inserted: DataFrame) -> StockChecked:
     rows = with_statement(inserted)
     demand = demand_per_book(rows)
     short = (
-        spread_join(demand, tables.sach.select("ma_sach", "so_luong"), ["ma_sach"], "inner")
+        demand.join(tables.sach.select("ma_sach", "so_luong"), "ma_sach")
         .where(F.col("so_luong") < F.col("nhu_cau"))
         .select(
             "statement_id", "ma_sach", "nhu_cau",
@@ -161,9 +164,7 @@ def check_loan_limit(
     rows = with_statement(inserted)
     per_slip = rows.groupBy("statement_id", "ma_phieu_muon").agg(F.count("ma_sach").alias("_n"))
     per_card = (
-        spread_join(
-            per_slip, tables.phieu_muon.select("ma_phieu_muon", "ma_the"), ["ma_phieu_muon"], "inner"
-        )
+        per_slip.join(tables.phieu_muon.select("ma_phieu_muon", "ma_the"), "ma_phieu_muon")
         .groupBy("statement_id", "ma_the")
         .agg(F.sum("_n").alias("muon_moi"))
     )
@@ -190,13 +191,18 @@ def check_single_extension(
     rows = with_statement(inserted)
     line = ["ma_phieu_muon", "ma_sach"]
     asked = rows.groupBy("statement_id", *line).agg(F.count(F.lit(1)).alias("_n"))
-    stored = tables.yeu_cau_gia_han.select(*line).distinct()
-    offending = spread_join(asked, stored, line, "left_semi").select(
+    stored = tables.yeu_cau_gia_han.select(*line)
+    offending = asked.join(stored, line, "left_semi").select(
         "statement_id", *line, F.lit("already_requested").alias("ly_do")
     )
     if strict:
-        repeated = asked.groupBy(*line).agg(F.sum("_n").alias("_all")).where(F.col("_all") > 1)
-        in_batch = spread_join(asked, repeated.select(*line), line, "left_semi").select(
+        repeated = (
+            asked.groupBy(*line)
+            .agg(F.sum("_n").alias("_all"), F.count(F.lit(1)).alias("_rows"))
+            .where(F.col("_all") > 1)
+            .drop("_all")
+        )
+        in_batch = spread_join(asked, repeated, line, "left_semi", counted="_rows").select(
             "statement_id", *line, F.lit("repeated_in_batch").alias("ly_do")
         )
         offending = offending.unionByName(in_batch)
@@ -221,22 +227,24 @@ def _check_unique(
 ) -> Checked:
     """Both identity columns in one equi join on (column, value) instead of a join with an OR.
 
-    Stored values are reduced to one row each (lowest and highest owner), which also answers
-    "does anyone else own it" for updates.
+    For updates the stored values are reduced to one row each (lowest and highest owner), which
+    answers "does anyone else own it".
     """
     rows = with_statement(rows)
     pair = ["cot", "gia_tri"]
     asked = _identifiers(rows, ["statement_id", key])
-    owners = _identifiers(existing, [key]).groupBy(*pair).agg(
-        F.min(key).alias("_lowest"), F.max(key).alias("_highest")
-    )
-    hits = spread_join(asked, owners, pair, "inner")
+    stored = _identifiers(existing, [key])
     if own_key:
-        hits = hits.where((F.col("_lowest") != F.col(key)) | (F.col("_highest") != F.col(key)))
+        owners = stored.groupBy(*pair).agg(F.min(key).alias("_low"), F.max(key).alias("_high"))
+        hits = spread_join(asked, owners, pair, "inner").where(
+            (F.col("_low") != F.col(key)) | (F.col("_high") != F.col(key))
+        )
+    else:
+        hits = asked.join(stored.select(*pair), pair, "left_semi")
     violations = hits.select("statement_id", key, *pair, F.lit("exists").alias("ly_do"))
     if strict:
         repeated = asked.groupBy(*pair).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1)
-        in_batch = spread_join(asked, repeated.select(*pair), pair, "left_semi").select(
+        in_batch = spread_join(asked, repeated, pair, "left_semi", counted="_n").select(
             "statement_id", key, *pair, F.lit("repeated_in_batch").alias("ly_do")
         )
         violations = violations.unionByName(in_batch)
@@ -265,9 +273,11 @@ def check_unique_staff_update(tables: Tables, changed: DataFrame) -> Checked:
 def check_book_delete(tables: Tables, deleted: DataFrame) -> Checked:
     """Refuse to delete books with lines on loan. Known from the requirements."""
     rows = with_statement(deleted)
-    busy = tables.chi_tiet.where(F.col("trang_thai_muon") == V.DANG_MUON).select("ma_sach").distinct()
+    busy = tables.chi_tiet.where(F.col("trang_thai_muon") == V.DANG_MUON).select("ma_sach")
     violations = (
-        spread_join(rows.select("statement_id", "ma_sach").distinct(), busy, ["ma_sach"], "left_semi")
+        rows.select("statement_id", "ma_sach")
+        .distinct()
+        .join(busy.distinct(), "ma_sach", "left_semi")
         .withColumn("thong_bao", F.lit(MSG_DELETE))
     )
     return _checked(rows, violations)

@@ -12,8 +12,13 @@ from circdesk.functions.reasons import Check, first_failing, text_of
 from circdesk.model import vocab as V
 from circdesk.model.tables import Tables
 from circdesk.operators.admission import KEY, refused_requests
-from circdesk.operators.checks import MSG_LIMIT, demand_per_book, with_statement
-from circdesk.operators.measures import AsOf, cards_in_debt, lines_per_card, stock_open4
+from circdesk.operators.checks import (
+    MSG_LIMIT,
+    demand_per_book,
+    with_statement,
+    without_statements,
+)
+from circdesk.operators.measures import AsOf, is_overdue, lines_per_card, stock_open4
 from circdesk.operators.ordering import BLOCK, highest_id, in_blocks, number_chosen, totals_before
 from circdesk.operators.scratch import durable
 from circdesk.operators.skew import spread_join
@@ -30,16 +35,28 @@ class Loans:
 
 
 def _card_facts(tables: Tables, as_of: AsOf) -> DataFrame:
-    """One row per card: status, expiry, debt and books on loan, joined before any request is."""
-    debt = cards_in_debt(tables, as_of).withColumn("_no", F.lit(True))
-    held = lines_per_card(tables, [V.DANG_MUON], "dang_muon")
-    return (
-        tables.the_thu_vien.select(
-            "ma_the", F.col("trang_thai").alias("_tt_the"), "ngay_het_han", F.lit(True).alias("_co_the")
+    """One row per card: status, expiry, debt and books on loan, joined before any request is.
+
+    Debt and books on loan come from one pass over the open lines.
+    """
+    per_slip = (
+        tables.chi_tiet.where(F.col("trang_thai_muon").isin(*V.OPEN))
+        .groupBy("ma_phieu_muon")
+        .agg(
+            F.coalesce(F.bool_or(is_overdue(as_of)), F.lit(False)).alias("_no"),
+            F.count_if(F.col("trang_thai_muon") == V.DANG_MUON).alias("dang_muon"),
         )
-        .join(debt, "ma_the", "left")
-        .join(held, "ma_the", "left")
+        .where(F.col("_no") | (F.col("dang_muon") > 0))
     )
+    per_card = (
+        tables.phieu_muon.select("ma_phieu_muon", "ma_the")
+        .join(per_slip, "ma_phieu_muon")
+        .groupBy("ma_the")
+        .agg(F.bool_or("_no").alias("_no"), F.sum("dang_muon").alias("dang_muon"))
+    )
+    return tables.the_thu_vien.select(
+        "ma_the", F.col("trang_thai").alias("_tt_the"), "ngay_het_han", F.lit(True).alias("_co_the")
+    ).join(per_card, "ma_the", "left")
 
 
 def _request_checks(as_of: AsOf) -> list[Check]:
@@ -199,7 +216,7 @@ def create_loans(
         F.lit(AFTER_BOOKS).alias("vi_tri"),
     )
     claims = book_claims.unionByName(card_claims, allowMissingColumns=True)
-    refused = refused_requests(claims.where(F.col("_ung_vien")), few_claims=True)
+    refused = refused_requests(claims.where(F.col("_ung_vien")))
 
     # What earlier accepted requests took from each key, for the reason of every refusal.
     settled_claims = claims.join(
@@ -220,16 +237,16 @@ def create_loans(
         .groupBy("request_id")
         .agg(F.min(F.struct("vi_tri", "_code", "_text")).alias("_first"))
     )
-    settled = durable(
-        number_chosen(
+    settled = number_chosen(
+        durable(
             screened.join(first, "request_id", "left")
             .withColumn("ly_do", F.coalesce("ly_do", "_first._code"))
             .withColumn("thong_bao", F.coalesce("thong_bao", "_first._text"))
-            .drop("_first"),
-            F.col("ly_do").isNull(),
-            highest_id(tables.phieu_muon, "ma_phieu_muon"),
-            "ma_phieu_muon",
-        )
+            .drop("_first")
+        ),
+        F.col("ly_do").isNull(),
+        highest_id(tables.phieu_muon, "ma_phieu_muon"),
+        "ma_phieu_muon",
     )
     ok = F.col("ly_do").isNull()
     success = F.concat(
@@ -269,7 +286,7 @@ def admit_statements(
     slips = tables.phieu_muon.select("ma_phieu_muon", "ma_the")
     per_slip = rows.groupBy("statement_id", "ma_phieu_muon").agg(F.count("ma_sach").alias("so_luong"))
     on_card = (
-        spread_join(per_slip, slips, ["ma_phieu_muon"], "inner")
+        per_slip.join(slips, "ma_phieu_muon")
         .groupBy("statement_id", "ma_the")
         .agg(F.sum("so_luong").alias("so_luong"))
     )
@@ -279,7 +296,7 @@ def admit_statements(
         (F.lit(limit) - F.coalesce("dang_muon", F.lit(0))).alias("suc_chua"),
     ).where(F.col("khoa").isNotNull())
     stock = tables.sach.select("ma_sach", F.col("so_luong").cast("bigint").alias("suc_chua"))
-    book_claims = spread_join(demand_per_book(rows), stock, ["ma_sach"], "inner").select(
+    book_claims = demand_per_book(rows).join(stock, "ma_sach").select(
         "statement_id", F.lit(BOOK).alias("loai"), F.col("ma_sach").alias("khoa"),
         F.col("nhu_cau").alias("so_luong"), "suc_chua",
     )
@@ -287,7 +304,7 @@ def admit_statements(
         {"request_id": F.col("statement_id"), "seq": F.col("statement_id")}
     )
     refused = refused_requests(in_blocks(claims)).withColumnRenamed("request_id", "statement_id")
-    return spread_join(rows, refused, ["statement_id"], "left_anti")
+    return without_statements(rows, refused)
 
 
 __all__ = [

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
 
@@ -22,13 +22,18 @@ def scratch_folder(spark: SparkSession) -> str:
     return folder
 
 
-def durable(df: DataFrame) -> DataFrame:
+def durable(df: DataFrame, **counts: Column) -> DataFrame | tuple[DataFrame, dict[str, int]]:
     """Write ``df`` once and go on from the files.
 
     The lineage is cut there, several outputs can share the work, and a later stage that is
-    recomputed reads the very same rows.
+    recomputed reads the very same rows. Named ``counts`` (aggregate columns) are taken while
+    writing and returned beside the rows.
     """
     spark = df.sparkSession
     path = f"{scratch_folder(spark).rstrip('/')}/circdesk/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if not counts:
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+    seen = Observation()
+    df.observe(seen, *[c.alias(name) for name, c in counts.items()]).write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), dict(seen.get)

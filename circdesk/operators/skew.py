@@ -1,20 +1,19 @@
 """Joins whose left side may hold a large share of its rows under one key.
 
-AQE splits a hot key by itself when both join inputs come straight from a shuffle (a fact table
-against a dimension table). It cannot when one side was aggregated on the join key, because the
-shuffle then sits below the aggregate. ``spread_join`` covers that case.
+AQE splits a hot key by itself when both join inputs come straight from a shuffle (rows against a
+stored table). It cannot when one side was aggregated on the join key, because the shuffle then
+sits below the aggregate. ``spread_join`` covers that case.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 ROWS_PER_TASK = 1_000_000
-_NULL_KEY_SPLITS = 1024
+_NULL_KEY_PIECES = 1024
 
 
 def spread_join(
@@ -22,6 +21,7 @@ def spread_join(
     right: DataFrame,
     on: Sequence[str],
     how: str = "left",
+    counted: str | None = None,
     rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """``left.join(right, on, how)`` for inner, left, left_semi and left_anti joins, hot keys split.
@@ -30,24 +30,40 @@ def spread_join(
     one piece by a hash of the row, the right row of the key is repeated once per piece. All other
     keys stay whole. At most ``count(left) / rows_per_task`` keys can be hot, which bounds the
     broadcast list of them. Null keys match nothing and are merely scattered.
+
+    ``counted`` names a column of ``right`` that already holds the number of left rows per key
+    (``right`` was aggregated from ``left``); it spares counting them again and is dropped.
     """
     on = list(on)
-    hot = F.broadcast(
-        left.groupBy(*on)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .where(F.col("_n") > rows_per_task)
-        .select(*on, F.ceil(F.col("_n") / rows_per_task).cast("int").alias("_pieces"))
-    )
-    no_key = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in on])
-    row_hash = F.xxhash64(*left.columns)
-    pieces = F.when(no_key, F.lit(_NULL_KEY_SPLITS)).otherwise(F.coalesce("_pieces", F.lit(1)))
+    if counted is None:
+        hot = _pieces(left.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")), on, "_n", rows_per_task)
+        right = right.join(hot, on, "left")
+    else:
+        hot = _pieces(right, on, counted, rows_per_task)
+        right = right.withColumn("_pieces", F.expr(_PIECES.format(counted, rows_per_task)))
+        right = right.drop(counted)
+    no_key = " or ".join(f"`{c}` is null" for c in on)
+    row = ", ".join(f"`{c}`" for c in left.columns)
     spread_left = left.join(hot, on, "left").withColumn(
-        "_piece", F.pmod(row_hash, pieces.cast("bigint")).cast("int")
+        "_piece",
+        F.expr(
+            f"cast(pmod(xxhash64({row}), cast(if({no_key}, {_NULL_KEY_PIECES}, coalesce(_pieces, 1))"
+            " as bigint)) as int)"
+        ),
     )
-    spread_right = right.join(hot, on, "left").withColumn(
-        "_piece", F.explode(F.sequence(F.lit(0), F.coalesce("_pieces", F.lit(1)) - 1))
-    )
-    joined = spread_left.drop("_pieces").join(
-        spread_right.drop("_pieces"), [*on, "_piece"], how
+    spread_right = right.withColumn(
+        "_piece", F.expr("explode(sequence(0, coalesce(_pieces, 1) - 1))")
     )
+    joined = spread_left.drop("_pieces").join(spread_right.drop("_pieces"), [*on, "_piece"], how)
     return joined.drop("_piece")
+
+
+_PIECES = "cast(ceil({0} / {1}) as int)"
+
+
+def _pieces(counts: DataFrame, on: list[str], count: str, rows_per_task: int) -> DataFrame:
+    """Hot keys with the number of pieces each is cut into."""
+    hot = counts.where(F.col(count) > rows_per_task)
+    return F.broadcast(
+        hot.select(*on, F.expr(_PIECES.format(count, rows_per_task)).alias("_pieces"))
+    )
