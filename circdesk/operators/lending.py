@@ -162,7 +162,7 @@ def screen_loans(
     limit: int = V.CARD_LIMIT,
 ) -> DataFrame:
     """Outcome of every request on its own, against the stored tables only."""
-    screened = screen_requests(tables, requests, as_of)
+    screened = durable(screen_requests(tables, requests, as_of))
     asked = _asked_books(screened, _book_facts(tables, so_luong_is))
     code, message = first_failing(_book_checks(F.lit(0)))
     first = (
