@@ -115,16 +115,16 @@ def screen_requests(tables: Tables, requests: DataFrame, as_of: AsOf) -> DataFra
 
 def _book_facts(tables: Tables, so_luong_is: str) -> DataFrame:
     """One row per book with the number of copies that may still go out (null: no limit)."""
-    books = tables.sach.select(
-        "ma_sach", "ten_sach", F.col("so_luong").cast("bigint").alias("so_luong"),
-        F.lit(True).alias("_co_sach"),
-    )
-    if so_luong_is == "on_shelf":
-        return books.withColumnRenamed("so_luong", "suc_chua")
-    if so_luong_is != "total":
+    if so_luong_is == "total":
+        books = stock_open4(tables, also=["ten_sach"])
+        room = F.col("so_luong_con_lai")
+    elif so_luong_is == "on_shelf":
+        books, room = tables.sach, F.col("so_luong").cast("bigint")
+    else:
         raise ValueError(f"unknown meaning of stock: {so_luong_is}")
-    left = stock_open4(tables).withColumnRenamed("so_luong_con_lai", "suc_chua")
-    return books.drop("so_luong").join(left, "ma_sach")
+    return books.select(
+        "ma_sach", "ten_sach", room.alias("suc_chua"), F.lit(True).alias("_co_sach")
+    )
 
 
 def _asked_books(screened: DataFrame, books: DataFrame) -> DataFrame:

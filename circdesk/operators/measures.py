@@ -81,27 +81,36 @@ def lines_per_book(tables: Tables, statuses: Sequence[str], name: str) -> DataFr
 
 
 def _stock(
-    tables: Tables, statuses: Sequence[str], left: Column, keys: DataFrame | None
+    tables: Tables, statuses: Sequence[str], left: Column, keys: DataFrame | None, also: Sequence[str]
 ) -> DataFrame:
     on_loan = lines_per_book(tables, statuses, "_dang_muon")
-    stock = tables.sach.select("ma_sach", F.col("so_luong").cast("bigint").alias("so_luong"))
+    stock = tables.sach.select("ma_sach", F.col("so_luong").cast("bigint").alias("_tong"), *also)
     if keys is not None:
         stock = keys.select("ma_sach").distinct().join(stock, "ma_sach", "left")
-    return stock.join(on_loan, "ma_sach", "left").select("ma_sach", left.alias("so_luong_con_lai"))
+    return stock.join(on_loan, "ma_sach", "left").select(
+        "ma_sach", *also, left.alias("so_luong_con_lai")
+    )
 
 
-def stock_open4(tables: Tables, keys: DataFrame | None = None) -> DataFrame:
-    """Stock less lines in the four open statuses; unknown book or null stock gives 0."""
-    left = F.coalesce(
-        F.col("so_luong") - F.coalesce("_dang_muon", F.lit(0)), F.lit(0).cast("bigint")
-    )
-    return _stock(tables, V.OPEN, left, keys)
+def stock_open4(
+    tables: Tables, keys: DataFrame | None = None, also: Sequence[str] = ()
+) -> DataFrame:
+    """Stock less lines in the four open statuses; unknown book or null stock gives 0.
 
+    ``also`` names further book columns to keep, which spares a second read of the books.
+    """
+    zero = F.lit(0).cast("bigint")
+    left = F.coalesce(F.col("_tong") - F.coalesce("_dang_muon", zero), zero)
+    return _stock(tables, V.OPEN, left, keys, also)
 
-def stock_open2(tables: Tables, keys: DataFrame | None = None) -> DataFrame:
+
+def stock_open2(
+    tables: Tables, keys: DataFrame | None = None, also: Sequence[str] = ()
+) -> DataFrame:
     """Stock less lines on loan or late; an unknown book counts as stock 0."""
-    left = F.coalesce("so_luong", F.lit(0)) - F.coalesce("_dang_muon", F.lit(0))
-    return _stock(tables, V.HELD, left, keys)
+    zero = F.lit(0).cast("bigint")
+    left = F.coalesce("_tong", zero) - F.coalesce("_dang_muon", zero)
+    return _stock(tables, V.HELD, left, keys, also)
 
 
 def _lines_asked(tables: Tables, keys: DataFrame | None) -> DataFrame:
@@ -172,16 +181,22 @@ def lines_per_card(tables: Tables, statuses: Sequence[str], name: str) -> DataFr
     )
 
 
-def reader_open_loans(tables: Tables, keys: DataFrame | None = None) -> DataFrame:
-    """Books each reader now holds, over all their cards; 0 for none or for an unknown reader."""
+def reader_open_loans(
+    tables: Tables, keys: DataFrame | None = None, also: Sequence[str] = ()
+) -> DataFrame:
+    """Books each reader now holds, over all their cards; 0 for none or for an unknown reader.
+
+    ``also`` names further reader columns to keep when all readers are asked.
+    """
     per_reader = (
         tables.the_thu_vien.select("ma_the", "ma_doc_gia")
         .join(lines_per_card(tables, V.HELD, "_n"), "ma_the")
         .groupBy("ma_doc_gia")
         .agg(F.sum("_n").alias("so_sach_dang_muon"))
     )
-    return (
-        _keys_asked(tables.doc_gia, keys, "ma_doc_gia")
-        .join(per_reader, "ma_doc_gia", "left")
-        .withColumn("so_sach_dang_muon", F.coalesce("so_sach_dang_muon", F.lit(0)))
+    asked = tables.doc_gia.select("ma_doc_gia", *also)
+    if keys is not None:
+        asked = keys.select("ma_doc_gia").distinct()
+    return asked.join(per_reader, "ma_doc_gia", "left").withColumn(
+        "so_sach_dang_muon", F.coalesce("so_sach_dang_muon", F.lit(0))
     )

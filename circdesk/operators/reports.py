@@ -54,15 +54,12 @@ def fine_report(tables: Tables, as_of: AsOf, policy: str = "additive") -> DataFr
 
 def stock_report(tables: Tables) -> DataFrame:
     """Every book with its stock and what is left of it, never-borrowed books included."""
-    books = tables.sach.select("ma_sach", "ten_sach", "so_luong")
-    return books.join(stock_open2(tables), "ma_sach")
+    return stock_open2(tables, also=["ten_sach", "so_luong"])
 
 
 def reader_loan_report(tables: Tables) -> DataFrame:
     """Every reader with the number of books now held."""
-    return tables.doc_gia.select("ma_doc_gia", "ho_ten").join(
-        reader_open_loans(tables), "ma_doc_gia"
-    )
+    return reader_open_loans(tables, also=["ho_ten"])
 
 
 def loans_per_book(tables: Tables) -> DataFrame:
