@@ -1,7 +1,8 @@
 """Request batches: extensions, returns, accounts, cards and bulk changes.
 
-Each batch row carries ``request_id`` and ``seq``. Requests count as handled one after another in
-(seq, request_id) order; what an earlier request of the batch changes is seen by the later ones.
+Each batch row carries ``request_id`` and ``seq``, both unique in the batch. Requests count as
+handled one after another in ``seq`` order; what an earlier request of the batch changes is seen by
+the later ones.
 Every job gives one outcome per request and the table changes.
 """
 
@@ -30,24 +31,19 @@ LINE = ["ma_phieu_muon", "ma_sach"]
 OUTCOME = ["request_id", "seq", "thanh_cong", "ly_do", "thong_bao"]
 
 
-def request_place() -> Column:
-    """The position of a request: a struct that compares by seq, then request_id."""
-    return F.struct("seq", "request_id")
-
-
 def mark_earlier_success(rows: DataFrame, key: Sequence[str]) -> DataFrame:
     """Add ``_sau``: an earlier request of the batch already succeeded on the same key.
 
     The first success per key is a partial minimum, so a key with many requests is combined
     before it is shuffled. ``rows`` is read twice and should come from files.
     """
-    place = F.when(F.col("ly_do").isNull(), request_place())
+    place = F.when(F.col("ly_do").isNull(), F.col("seq"))
     first = rows.groupBy(*key).agg(
         F.min(place).alias("_first"), F.count(F.lit(1)).alias("_n")
     ).where(F.col("_first").isNotNull())
     return (
         spread_join(rows, first, key, "left", counted="_n")
-        .withColumn("_sau", F.coalesce(request_place() > F.col("_first"), F.lit(False)))
+        .withColumn("_sau", F.coalesce(F.col("seq") > F.col("_first"), F.lit(False)))
         .drop("_first")
     )
 
@@ -145,13 +141,13 @@ def decide_extensions(tables: Tables, decisions: DataFrame) -> Decisions:
     found = facts.where(F.col("_co_yeu_cau"))
     request_changes = (
         found.groupBy("ma_yeu_cau")
-        .agg(F.max_by("chap_nhan", request_place()).alias("_last"))
+        .agg(F.max_by("chap_nhan", "seq").alias("_last"))
         .select("ma_yeu_cau", F.when(F.col("_last"), V.DA_DUYET).otherwise(V.TU_CHOI).alias("trang_thai"))
     )
     due_changes = (
         found.where(F.col("chap_nhan"))
         .groupBy(*LINE)
-        .agg(F.max_by("ngay_gia_han", request_place()).alias("ngay_tra_du_kien"))
+        .agg(F.max_by("ngay_gia_han", "seq").alias("ngay_tra_du_kien"))
         .join(tables.chi_tiet.select(*LINE), LINE, "left_semi")
     )
     return Decisions(outcome, request_changes, due_changes)
@@ -310,7 +306,7 @@ def patch_accounts(
     asked = patches.withColumn("_ten", name)
 
     def last(column: str) -> Column:
-        place = F.when(F.col(column).isNotNull(), request_place())
+        place = F.when(F.col(column).isNotNull(), F.col("seq"))
         return F.max_by(column, place).alias(column)
 
     wanted = asked.groupBy("_ten").agg(

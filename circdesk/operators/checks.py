@@ -18,7 +18,7 @@ from circdesk.model import vocab as V
 from circdesk.model.tables import Tables
 from circdesk.operators.deltas import add_to_stock
 from circdesk.operators.measures import AsOf, lines_per_card
-from circdesk.operators.skew import spread_join
+from circdesk.operators.skew import few_per_key, spread_join
 
 MSG_STOCK = "Số lượng sách không đủ"
 MSG_CARD = "Thẻ thư viện đã hết hạn hoặc bị khóa"
@@ -48,12 +48,8 @@ def with_statement(rows: DataFrame) -> DataFrame:
 
 
 def without_statements(rows: DataFrame, violations: DataFrame) -> DataFrame:
-    """Rows whose statement has no violation.
-
-    One statement may hold most of the batch. The offending ids are left unaggregated, so that AQE
-    finds a plain shuffle on both sides and can split that statement's rows.
-    """
-    return rows.join(violations.select("statement_id"), "statement_id", "left_anti")
+    """Rows whose statement has no violation; one statement may hold most of either side."""
+    return rows.join(few_per_key(violations, ["statement_id"]), "statement_id", "left_anti")
 
 
 def _checked(rows: DataFrame, violations: DataFrame) -> Checked:
@@ -191,7 +187,7 @@ def check_single_extension(
     rows = with_statement(inserted)
     line = ["ma_phieu_muon", "ma_sach"]
     asked = rows.groupBy("statement_id", *line).agg(F.count(F.lit(1)).alias("_n"))
-    stored = tables.yeu_cau_gia_han.select(*line)
+    stored = few_per_key(tables.yeu_cau_gia_han.select("ma_yeu_cau", *line), line)
     offending = asked.join(stored, line, "left_semi").select(
         "statement_id", *line, F.lit("already_requested").alias("ly_do")
     )
@@ -227,20 +223,27 @@ def _check_unique(
 ) -> Checked:
     """Both identity columns in one equi join on (column, value) instead of a join with an OR.
 
-    For updates the stored values are reduced to one row each (lowest and highest owner), which
-    answers "does anyone else own it".
+    For updates, an owner other than the row itself is looked for.
     """
     rows = with_statement(rows)
     pair = ["cot", "gia_tri"]
     asked = _identifiers(rows, ["statement_id", key])
     stored = _identifiers(existing, [key])
     if own_key:
-        owners = stored.groupBy(*pair).agg(F.min(key).alias("_low"), F.max(key).alias("_high"))
-        hits = spread_join(asked, owners, pair, "inner").where(
-            (F.col("_low") != F.col(key)) | (F.col("_high") != F.col(key))
+        owners = stored.groupBy(*pair, F.expr(f"pmod(xxhash64(`{key}`), 16)").alias("_part")).agg(
+            F.min(key).alias("_low"), F.max(key).alias("_high")
+        )
+        a, o = asked.alias("a"), owners.alias("o")
+        someone_else = (F.col("o._low") != F.col(f"a.{key}")) | (F.col("o._high") != F.col(f"a.{key}"))
+        hits = a.join(
+            o,
+            (F.col("a.cot") == F.col("o.cot"))
+            & (F.col("a.gia_tri") == F.col("o.gia_tri"))
+            & someone_else,
+            "left_semi",
         )
     else:
-        hits = asked.join(stored.select(*pair), pair, "left_semi")
+        hits = asked.join(few_per_key(stored, pair), pair, "left_semi")
     violations = hits.select("statement_id", key, *pair, F.lit("exists").alias("ly_do"))
     if strict:
         repeated = asked.groupBy(*pair).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1)
@@ -273,11 +276,13 @@ def check_unique_staff_update(tables: Tables, changed: DataFrame) -> Checked:
 def check_book_delete(tables: Tables, deleted: DataFrame) -> Checked:
     """Refuse to delete books with lines on loan. Known from the requirements."""
     rows = with_statement(deleted)
-    busy = tables.chi_tiet.where(F.col("trang_thai_muon") == V.DANG_MUON).select("ma_sach")
+    busy = tables.chi_tiet.where(F.col("trang_thai_muon") == V.DANG_MUON).select(
+        "ma_phieu_muon", "ma_sach"
+    )
     violations = (
         rows.select("statement_id", "ma_sach")
         .distinct()
-        .join(busy.distinct(), "ma_sach", "left_semi")
+        .join(few_per_key(busy, ["ma_sach"]), "ma_sach", "left_semi")
         .withColumn("thong_bao", F.lit(MSG_DELETE))
     )
     return _checked(rows, violations)

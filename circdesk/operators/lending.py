@@ -19,7 +19,14 @@ from circdesk.operators.checks import (
     without_statements,
 )
 from circdesk.operators.measures import AsOf, is_overdue, lines_per_card, stock_open4
-from circdesk.operators.ordering import BLOCK, highest_id, in_blocks, number_chosen, totals_before
+from circdesk.operators.ordering import (
+    BLOCK,
+    REQUEST_ORDER,
+    highest_id,
+    in_blocks,
+    number_chosen,
+    totals_before,
+)
 from circdesk.operators.scratch import durable
 from circdesk.operators.skew import spread_join
 
@@ -187,7 +194,7 @@ def create_loans(
     so_luong_is: str = "total",
     limit: int = V.CARD_LIMIT,
 ) -> Loans:
-    """Make slips and lines as if the requests came one after another in (seq, request_id) order.
+    """Make slips and lines as if the requests came one after another in ``seq`` order.
 
     ``so_luong_is`` says what the stored stock means: ``total`` (open loans are subtracted) or
     ``on_shelf`` (already net of loans; null never rejects).
@@ -303,7 +310,9 @@ def admit_statements(
     claims = book_claims.unionByName(card_claims).withColumns(
         {"request_id": F.col("statement_id"), "seq": F.col("statement_id")}
     )
-    refused = refused_requests(in_blocks(claims)).withColumnRenamed("request_id", "statement_id")
+    # The keys take part in the order of the blocks, so that a huge statement fills several.
+    blocks = in_blocks(claims, (*REQUEST_ORDER, *KEY))
+    refused = refused_requests(blocks).withColumnRenamed("request_id", "statement_id")
     return without_statements(rows, refused)
 
 

@@ -1,8 +1,9 @@
-"""Joins whose left side may hold a large share of its rows under one key.
+"""Joins in which one key may hold a large share of the rows.
 
 AQE splits a hot key by itself when both join inputs come straight from a shuffle (rows against a
 stored table). It cannot when one side was aggregated on the join key, because the shuffle then
-sits below the aggregate. ``spread_join`` covers that case.
+sits below the aggregate. ``few_per_key`` thins the right side of an existence join without that
+effect; ``spread_join`` splits hot keys against an aggregated side.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 ROWS_PER_TASK = 1_000_000
 _NULL_KEY_PIECES = 1024
+_FEW = 16
 
 
 def spread_join(
@@ -58,6 +60,18 @@ def spread_join(
     return joined.drop("_piece")
 
 
+def few_per_key(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The distinct keys, each at most sixteen times, as the right side of a semi or anti join.
+
+    Repeats are combined before the shuffle, like ``distinct``. The grouping takes in a hash of
+    the row, so the result is not partitioned by the keys: the join shuffles it once more, right
+    below itself, and AQE stays free to split a hot key of the left side.
+    """
+    row = ", ".join(f"`{c}`" for c in rows.columns)
+    part = F.expr(f"pmod(xxhash64({row}), {_FEW})").alias("_part")
+    return rows.select(*keys, part).distinct().select(*keys)
+
+
 _PIECES = "cast(ceil({0} / {1}) as int)"
 
 
