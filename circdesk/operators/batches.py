@@ -35,12 +35,13 @@ def mark_earlier_success(rows: DataFrame, key: Sequence[str]) -> DataFrame:
     """Add ``_sau``: an earlier request of the batch already succeeded on the same key.
 
     The first success per key is a partial minimum, so a key with many requests is combined
-    before it is shuffled. ``rows`` is read twice and should come from files.
+    before it is shuffled; keys with a single request drop out, which mostly leaves a list short
+    enough for AQE to broadcast. ``rows`` is read twice and should come from files.
     """
     place = F.when(F.col("ly_do").isNull(), F.col("seq"))
     first = rows.groupBy(*key).agg(
         F.min(place).alias("_first"), F.count(F.lit(1)).alias("_n")
-    ).where(F.col("_first").isNotNull())
+    ).where(F.col("_first").isNotNull() & (F.col("_n") > 1))
     return (
         spread_join(rows, first, key, "left", counted="_n")
         .withColumn("_sau", F.coalesce(F.col("seq") > F.col("_first"), F.lit(False)))
@@ -213,15 +214,7 @@ def process_returns(
         Check("over_30_days_late", F.col("_tre") > V.MAX_LATE_DAYS, MSG_OVER_30),
         Check("bad_condition", F.col("_tt_sach").isNull(), MSG_CONDITION),
     ]
-    code, _ = first_failing([unknown, *later_checks])
-    books = tables.sach.select("ma_sach", "don_gia", F.lit(True).alias("_co_sach"))
-    # The joins with the stored tables run once; ids and all four outputs go on from the files.
-    batch = in_blocks(
-        facts.withColumn("ly_do", code)
-        .join(books, "ma_sach", "left")
-        .join(tables.phieu_muon.select("ma_phieu_muon", "ma_the"), "ma_phieu_muon", "left")
-        .join(tables.the_thu_vien.select("ma_the", "ma_doc_gia"), "ma_the", "left")
-    )
+    first_code, _ = first_failing([unknown, *later_checks])
     taken = Check("already_returned", F.col("_sau"), MSG_RETURNED)
     code, message = first_failing([unknown, taken, *later_checks])
     fine = F.when(
@@ -230,11 +223,20 @@ def process_returns(
             F.col("ngay_tra_du_kien"), now, F.col("don_gia"), F.col("_tt_sach"), now
         ),
     ).otherwise(F.lit(0).cast("decimal(18,2)"))
-    settled = (
-        mark_earlier_success(batch, LINE)
-        .withColumns({"ly_do": code, "_loi": message})
-        .withColumn("tien_phat", F.when(F.col("ly_do").isNull(), fine))
-        .withColumn("_tt_muon", F.when(F.col("_tre") <= 0, V.HOAN_THANH).otherwise(V.TRA_TRE))
+    marked = mark_earlier_success(durable(facts.withColumn("ly_do", first_code)), LINE)
+    books = tables.sach.select("ma_sach", "don_gia", F.lit(True).alias("_co_sach"))
+    # Written once: the ids and all four outputs go on from these rows.
+    settled = in_blocks(
+        marked.withColumns({"ly_do": code, "_loi": message})
+        .join(books, "ma_sach", "left")
+        .join(tables.phieu_muon.select("ma_phieu_muon", "ma_the"), "ma_phieu_muon", "left")
+        .join(tables.the_thu_vien.select("ma_the", "ma_doc_gia"), "ma_the", "left")
+        .select(
+            "request_id", "seq", *LINE, "ma_nhan_vien", "ma_doc_gia", "trang_thai_muon", "ly_do",
+            "_loi", "_tre", "_tt_sach",
+            F.when(F.col("_tre") <= 0, V.HOAN_THANH).otherwise(V.TRA_TRE).alias("_tt_muon"),
+            F.when(F.col("ly_do").isNull(), fine).alias("tien_phat"),
+        )
     )
     numbered = number_chosen(
         settled, F.col("tien_phat") > 0, highest_id(tables.hoa_don, "ma_hoa_don"), "ma_hoa_don"

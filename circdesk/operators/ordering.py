@@ -59,8 +59,6 @@ def totals_before(
             *[F.coalesce(F.sum(a).over(earlier_blocks), F.lit(0)).alias(f"_{a}") for a in amounts],
         )
     )
-    if not keys:  # one row per block, so never larger than the number of shuffle partitions
-        starts = F.broadcast(starts)
     totals = {
         f"{a}_before": F.coalesce(F.sum(a).over(earlier_rows), F.lit(0)) + F.col(f"_{a}")
         for a in amounts
@@ -77,13 +75,24 @@ def number_chosen(
     name: str,
     order: Sequence[str] = REQUEST_ORDER,
 ) -> DataFrame:
-    """Give the chosen rows the ids ``highest + 1, highest + 2, ...`` in order, others null."""
-    flagged = rows.withColumn("_chosen", F.when(chosen, F.lit(1)).otherwise(F.lit(0)))
-    counted = totals_before(flagged, [], ["_chosen"], order)
-    new_id = F.coalesce(highest, F.lit(0)) + F.col("_chosen_before") + 1
-    return counted.withColumn(
-        name, F.when(F.col("_chosen") == 1, new_id.cast("bigint"))
-    ).drop("_chosen", "_chosen_before")
+    """Give the chosen rows the ids ``highest + 1, highest + 2, ...`` in order, others null.
+
+    Rows are numbered inside their block, after the rows of the earlier blocks. Only chosen rows
+    are sorted. ``rows`` is read three times and should come from files.
+    """
+    picked = rows.where(chosen)
+    earlier = Window.orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    # One row per block, so neither this window nor the broadcast outgrows the partition count.
+    starts = F.broadcast(
+        picked.groupBy(BLOCK)
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .select(BLOCK, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
+    )
+    place = F.row_number().over(Window.partitionBy(BLOCK).orderBy(*order))
+    new_id = F.coalesce(highest, F.lit(0)) + F.col("_start") + place
+    numbered = picked.join(starts, BLOCK).withColumn(name, new_id.cast("bigint")).drop("_start")
+    others = rows.where(~F.coalesce(chosen, F.lit(False)))
+    return numbered.unionByName(others.withColumn(name, F.lit(None).cast("bigint")))
 
 
 def highest_id(table: DataFrame, column: str) -> Column:
