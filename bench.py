@@ -3,7 +3,7 @@
     BENCH_SF_DIR=/root/testdata/sf0.1 BENCH_CPUS=8 python bench.py [name-prefix ...]
 
 Each query is planned and run from the source tables to the ``noop`` sink: one run to warm up, then
-the median of ``BENCH_RUNS`` (default 3) runs. ``value`` is the sum over the headline queries.
+the median of ``BENCH_RUNS`` (default 1) runs. ``value`` is the sum over the headline queries.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ HEADLINE = (
 
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
-    runs = int(os.environ.get("BENCH_RUNS", "3"))
+    runs = int(os.environ.get("BENCH_RUNS", "1"))
     prefixes = tuple(sys.argv[1:])
     names = [n for n in QUERIES if n.startswith(prefixes)] if prefixes else HEADLINE
     spark = local_session()

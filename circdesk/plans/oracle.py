@@ -157,7 +157,7 @@ _PARTS: dict[str, str] = {
     "cancellation_requests": "SELECT c_custkey AS request_id, c_custkey AS seq, "
     "c_custkey + 1 AS ma_doc_gia FROM customer",
     "new_books": """SELECT p_partkey AS request_id, p_partkey AS seq,
-      CASE WHEN p_size = 7 THEN '  ' ELSE p_name END AS ten_sach, p_size - 3 AS so_luong,
+      CASE WHEN p_size = 9 THEN '  ' ELSE p_name END AS ten_sach, p_size - 3 AS so_luong,
       CAST(p_retailprice - 905 AS DECIMAL(10,2)) AS don_gia, CAST(p_size % 8 AS BIGINT) AS ma_the_loai,
       CASE p_partkey % 6 WHEN 0 THEN NULL
         WHEN 1 THEN (p_partkey % ((SELECT max(s_suppkey) FROM supplier) + 9)) || ', ' || p_name

@@ -110,7 +110,7 @@ def new_books(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.selectExpr(
         "p_partkey as request_id",
         "p_partkey as seq",
-        "if(p_size = 7, '  ', p_name) as ten_sach",
+        "if(p_size = 9, '  ', p_name) as ten_sach",
         "'img/bia.jpg' as hinh_anh",
         "p_type as mo_ta",
         "p_brand as nha_xuat_ban",
