@@ -30,5 +30,11 @@ def first_failing(checks: Sequence[Check]) -> tuple[Column, Column]:
     return code, message
 
 
-def text_of(value: Column) -> Column:
-    return value.cast("string")
+def fill(template: str, *values: str | Column) -> Column:
+    """``template`` with each ``{}`` replaced by a column; a null value makes the text null."""
+    texts = template.split("{}")
+    parts: list[Column] = [F.lit(texts[0])]
+    for value, text in zip(values, texts[1:], strict=True):
+        column = F.col(value) if isinstance(value, str) else value
+        parts += [column.cast("string"), F.lit(text)]
+    return F.concat(*parts)

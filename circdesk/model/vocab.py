@@ -45,7 +45,6 @@ TEXT_LOST = "Đền sách mất"
 TEXT_DAMAGED = "Phạt sách hư hỏng nặng"
 TEXT_CARD = "Làm thẻ"
 FINE_TEXTS = (TEXT_LATE, TEXT_LOST, TEXT_DAMAGED)
-NEW_AUTHOR_NOTE = "Tác giả mới được thêm tự động"
 
 # -- business limits ---------------------------------------------------------
 CARD_LIMIT = 5

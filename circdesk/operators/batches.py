@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from circdesk.functions.dates import days_between, moment, plus_days
 from circdesk.functions.fines import replacement_fine, whole_number
-from circdesk.functions.reasons import Check, first_failing, text_of
+from circdesk.functions.reasons import Check, fill, first_failing
+from circdesk.model import messages as M
 from circdesk.model import vocab as V
 from circdesk.model.schema import columns
 from circdesk.model.tables import Tables
@@ -58,12 +59,6 @@ class Extensions:
     line_changes: DataFrame  # key, new due date, new status
 
 
-MSG_EXT_UNKNOWN = "Yêu cầu gia hạn không tồn tại!"
-MSG_EXT_TWICE = "Sách này đã được gia hạn rồi! Mỗi sách chỉ được gia hạn 1 lần."
-MSG_EXT_LATE = "Yêu cầu gia hạn phải được tạo trước ít nhất 7 ngày so với ngày trả dự kiến!"
-MSG_LINE_UNKNOWN = "Chi tiết phiếu mượn không tồn tại!"
-
-
 def apply_extensions(tables: Tables, requests: DataFrame) -> Extensions:
     """Move the due date of lines whose extension request was approved, once per line."""
     asked = tables.yeu_cau_gia_han.select(
@@ -76,33 +71,28 @@ def apply_extensions(tables: Tables, requests: DataFrame) -> Extensions:
     facts = requests.join(asked, "ma_yeu_cau", "left").join(lines, LINE, "left")
 
     first_checks = [
-        Check("request_not_found", F.col("_co_yeu_cau").isNull(), MSG_EXT_UNKNOWN),
+        Check("request_not_found", F.col("_co_yeu_cau").isNull(), M.REQUEST_UNKNOWN),
         Check(
             "not_approved",
             F.col("_tt_yeu_cau") != V.DA_DUYET,
-            F.concat(
-                F.lit("Yêu cầu gia hạn chưa được duyệt! Trạng thái hiện tại: "), "_tt_yeu_cau"
-            ),
+            fill(M.NOT_APPROVED, "_tt_yeu_cau"),
         ),
     ]
     line_checks = [
-        Check("already_extended", F.col("trang_thai_muon") == V.DA_GIA_HAN, MSG_EXT_TWICE),
+        Check("already_extended", F.col("trang_thai_muon") == V.DA_GIA_HAN, M.EXTENDED_ALREADY),
         Check(
             "too_late",
             days_between(F.col("ngay_tao"), F.col("ngay_tra_du_kien")) < V.MIN_DAYS_BEFORE_DUE,
-            MSG_EXT_LATE,
+            M.EXTENDED_TOO_LATE,
         ),
-        Check("line_not_found", F.col("_co_dong").isNull(), MSG_LINE_UNKNOWN),
+        Check("line_not_found", F.col("_co_dong").isNull(), M.LINE_UNKNOWN),
     ]
     code, _ = first_failing([*first_checks, *line_checks])
     marked = mark_earlier_success(durable(facts.withColumn("ly_do", code)), LINE)
 
-    taken = Check("already_extended", F.col("_sau"), MSG_EXT_TWICE)
+    taken = Check("already_extended", F.col("_sau"), M.EXTENDED_ALREADY)
     code, message = first_failing([*first_checks, taken, *line_checks])
-    done = F.concat(
-        F.lit("Gia hạn sách thành công! Ngày trả dự kiến mới: "),
-        F.date_format("ngay_gia_han", "dd/MM/yyyy"),
-    )
+    done = fill(M.EXTENDED, F.date_format("ngay_gia_han", "dd/MM/yyyy"))
     settled = marked.withColumn("ly_do", code).withColumn(
         "thong_bao", F.when(F.col("ly_do").isNull(), done).otherwise(message)
     )
@@ -173,14 +163,6 @@ class Returns:
     stock_change: DataFrame  # ma_sach, them
 
 
-MSG_RETURNED = "Sách này đã được trả rồi!"
-MSG_OVER_30 = "Đã quá 30 ngày kể từ hạn trả! Vui lòng liên hệ trực tiếp để xử lý."
-MSG_CONDITION = (
-    "Tình trạng sách không hợp lệ! Chỉ chấp nhận: Nguyên vẹn (hoặc Tốt), "
-    "Hư hỏng nặng (hoặc Hỏng), Mất sách (hoặc Mất)"
-)
-
-
 def canonical_condition(condition: Column) -> Column:
     return (
         F.when(condition.isin(*V.GOOD), V.NGUYEN_VEN)
@@ -204,18 +186,18 @@ def process_returns(
         .withColumn("_tre", days_between(F.col("ngay_tra_du_kien"), now))
         .withColumn("_tt_sach", canonical_condition(F.col("trang_thai_sach")))
     )
-    unknown = Check("line_not_found", F.col("_co_dong").isNull(), MSG_LINE_UNKNOWN)
+    unknown = Check("line_not_found", F.col("_co_dong").isNull(), M.LINE_UNKNOWN)
     later_checks = [
         Check(
             "already_returned",
             F.col("ngay_tra_thuc_te").isNotNull() | F.col("trang_thai_muon").isin(*V.CLOSED),
-            MSG_RETURNED,
+            M.RETURNED_ALREADY,
         ),
-        Check("over_30_days_late", F.col("_tre") > V.MAX_LATE_DAYS, MSG_OVER_30),
-        Check("bad_condition", F.col("_tt_sach").isNull(), MSG_CONDITION),
+        Check("over_30_days_late", F.col("_tre") > V.MAX_LATE_DAYS, M.OVER_30_DAYS),
+        Check("bad_condition", F.col("_tt_sach").isNull(), M.BAD_CONDITION),
     ]
     first_code, _ = first_failing([unknown, *later_checks])
-    taken = Check("already_returned", F.col("_sau"), MSG_RETURNED)
+    taken = Check("already_returned", F.col("_sau"), M.RETURNED_ALREADY)
     code, message = first_failing([unknown, taken, *later_checks])
     fine = F.when(
         F.col("_co_sach"),
@@ -243,13 +225,8 @@ def process_returns(
     )
     success = F.when(
         F.col("ma_hoa_don").isNotNull(),
-        F.concat(
-            F.lit("Trả sách thành công! Tiền phạt: "),
-            whole_number(F.col("tien_phat")),
-            F.lit(" VNĐ. Mã hóa đơn: "),
-            text_of(F.col("ma_hoa_don")),
-        ),
-    ).otherwise(F.lit("Trả sách thành công! Không có tiền phạt."))
+        fill(M.RETURNED_WITH_FINE, whole_number(F.col("tien_phat")), "ma_hoa_don"),
+    ).otherwise(F.lit(M.RETURNED))
     ok = F.col("ly_do").isNull()
     outcome = numbered.select(
         "request_id", "seq", ok.alias("thanh_cong"), "ly_do",
@@ -262,16 +239,10 @@ def process_returns(
         F.col("_tt_muon").alias("trang_thai_muon"),
         F.col("_tt_sach").alias("trang_thai_sach"),
     )
-    place = F.concat(
-        F.lit(" - Mã phiếu: "), text_of(F.col("ma_phieu_muon")),
-        F.lit(", Mã sách: "), text_of(F.col("ma_sach")),
-    )
     text = (
-        F.when(F.col("_tt_sach") == V.MAT_SACH, F.concat(F.lit(V.TEXT_LOST), place))
-        .when(F.col("_tt_sach") == V.HU_HONG_NANG, F.concat(F.lit(V.TEXT_DAMAGED), place))
-        .otherwise(
-            F.concat(F.lit(f"{V.TEXT_LATE} ("), text_of(F.col("_tre")), F.lit(" ngày)"), place)
-        )
+        F.when(F.col("_tt_sach") == V.MAT_SACH, fill(M.INVOICE_LOST, *LINE))
+        .when(F.col("_tt_sach") == V.HU_HONG_NANG, fill(M.INVOICE_DAMAGED, *LINE))
+        .otherwise(fill(M.INVOICE_LATE, "_tre", *LINE))
     )
     invoices = numbered.where(F.col("ma_hoa_don").isNotNull()).select(
         "ma_hoa_don", now.alias("ngay_lap"), F.col("tien_phat").alias("so_tien"),
@@ -356,9 +327,6 @@ class CardCancellations:
     reader_changes: DataFrame  # ma_doc_gia, trang_thai
 
 
-MSG_HOLDS_BOOKS = "Không thể hủy thẻ: độc giả vẫn còn sách chưa trả"
-
-
 def readers_holding(tables: Tables) -> DataFrame:
     """Distinct readers with a line on loan or late, over all their cards."""
     slips = (
@@ -389,7 +357,7 @@ def cancel_cards(tables: Tables, requests: DataFrame) -> CardCancellations:
     code, message = first_failing(
         [
             Check("not_found", F.col("_co").isNull(), F.lit(None).cast("string")),
-            Check("has_open_loans", F.col("_giu"), MSG_HOLDS_BOOKS),
+            Check("has_open_loans", F.col("_giu"), M.HOLDS_BOOKS),
         ]
     )
     settled = facts.withColumns({"ly_do": code, "thong_bao": message})

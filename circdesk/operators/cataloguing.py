@@ -7,8 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from circdesk.functions.reasons import Check, first_failing, text_of
-from circdesk.model import vocab as V
+from circdesk.functions.reasons import Check, fill, first_failing
+from circdesk.model import messages as M
 from circdesk.model.schema import columns
 from circdesk.model.tables import Tables
 from circdesk.operators.ordering import REQUEST_ORDER, highest_id, in_blocks, number_chosen
@@ -30,14 +30,14 @@ class NewBooks:
 def _checks() -> list[Check]:
     title = F.col("ten_sach")
     return [
-        Check("category_not_found", F.col("_co_the_loai").isNull(), "Thể loại không tồn tại!"),
+        Check("category_not_found", F.col("_co_the_loai").isNull(), M.CATEGORY_UNKNOWN),
         Check(
             "blank_title",
             title.isNull() | (F.length(F.trim(title)) == 0),
-            "Tên sách không được để trống!",
+            M.TITLE_BLANK,
         ),
-        Check("negative_stock", F.col("so_luong") < 0, "Số lượng sách phải >= 0!"),
-        Check("negative_price", F.col("don_gia") < 0, "Đơn giá phải >= 0!"),
+        Check("negative_stock", F.col("so_luong") < 0, M.STOCK_NEGATIVE),
+        Check("negative_price", F.col("don_gia") < 0, M.PRICE_NEGATIVE),
     ]
 
 
@@ -90,9 +90,7 @@ def ingest_books(
             "thong_bao",
             F.coalesce(
                 "thong_bao",
-                F.when(
-                    bad_author, F.concat(F.lit("Tác giả có mã "), "_sai.muc", F.lit(" không tồn tại!"))
-                ),
+                F.when(bad_author, fill(M.AUTHOR_UNKNOWN, "_sai.muc")),
             ),
         )
         .withColumn("ly_do", F.coalesce("ly_do", F.when(bad_author, "author_not_found")))
@@ -102,9 +100,7 @@ def ingest_books(
     numbered = number_chosen(settled, ok, highest_id(tables.sach, "ma_sach"), "ma_sach")
     outcome = numbered.select(
         "request_id", "seq", ok.alias("thanh_cong"), "ly_do",
-        F.when(
-            ok, F.concat(F.lit("Thêm sách mới thành công! Mã sách: "), text_of(F.col("ma_sach")))
-        ).otherwise(F.col("thong_bao")).alias("thong_bao"),
+        F.when(ok, fill(M.BOOK_ADDED, "ma_sach")).otherwise(F.col("thong_bao")).alias("thong_bao"),
         "ma_sach",
     )
     made = numbered.where(ok)
@@ -124,7 +120,7 @@ def ingest_books(
         "ma_tac_gia", PLACE,
     )
     authors = new_names.select(
-        "ma_tac_gia", F.col("muc").alias("ten_tac_gia"), F.lit(V.NEW_AUTHOR_NOTE).alias("mo_ta")
+        "ma_tac_gia", F.col("muc").alias("ten_tac_gia"), F.lit(M.NEW_AUTHOR_NOTE).alias("mo_ta")
     )
     known = F.coalesce("_ma", "_ma_theo_ten")
     links = (

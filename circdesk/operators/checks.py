@@ -14,19 +14,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from circdesk.functions.dates import moment
+from circdesk.model import messages as M
 from circdesk.model import vocab as V
 from circdesk.model.tables import Tables
 from circdesk.operators.deltas import add_to_stock
 from circdesk.operators.measures import AsOf, lines_per_card
 from circdesk.operators.skew import few_per_key, spread_join
 
-MSG_STOCK = "Số lượng sách không đủ"
-MSG_CARD = "Thẻ thư viện đã hết hạn hoặc bị khóa"
-MSG_LIMIT = "Số lượng sách mượn vượt quá giới hạn 5 cuốn cho một hoặc nhiều độc giả."
-MSG_EXTENSION = "Chỉ được gia hạn 1 lần cho 1 sách"
-MSG_PERSON = "CCCD hoặc số điện thoại đã tồn tại"
-MSG_DELETE = "Sách đang được mượn"
-
 
 @dataclass(frozen=True)
 class Checked:
@@ -72,7 +66,7 @@ def check_stock(tables: Tables, inserted: DataFrame) -> StockChecked:
         .where(F.col("so_luong") < F.col("nhu_cau"))
         .select(
             "statement_id", "ma_sach", "nhu_cau",
-            F.col("so_luong").cast("bigint").alias("so_luong"), F.lit(MSG_STOCK).alias("thong_bao"),
+            F.col("so_luong").cast("bigint").alias("so_luong"), F.lit(M.NOT_ENOUGH_STOCK).alias("thong_bao"),
         )
     )
     accepted = without_statements(rows, short)
@@ -148,7 +142,7 @@ def check_card(tables: Tables, inserted: DataFrame, as_of: AsOf) -> Checked:
         rows.select("statement_id", "ma_the")
         .distinct()
         .join(refused, "ma_the")
-        .select("statement_id", "ma_the", "ly_do", F.lit(MSG_CARD).alias("thong_bao"))
+        .select("statement_id", "ma_the", "ly_do", F.lit(M.CARD_REFUSED).alias("thong_bao"))
     )
     return _checked(rows, violations)
 
@@ -170,7 +164,7 @@ def check_loan_limit(
         .withColumn("dang_muon", F.coalesce("dang_muon", F.lit(0)))
         .where(F.col("muon_moi") + F.col("dang_muon") > limit)
         .select(
-            "statement_id", "ma_the", "muon_moi", "dang_muon", F.lit(MSG_LIMIT).alias("thong_bao")
+            "statement_id", "ma_the", "muon_moi", "dang_muon", F.lit(M.LOAN_LIMIT).alias("thong_bao")
         )
     )
     return _checked(rows, over)
@@ -202,7 +196,7 @@ def check_single_extension(
             "statement_id", *line, F.lit("repeated_in_batch").alias("ly_do")
         )
         offending = offending.unionByName(in_batch)
-    return _checked(rows, offending.withColumn("thong_bao", F.lit(MSG_EXTENSION)))
+    return _checked(rows, offending.withColumn("thong_bao", F.lit(M.ONE_EXTENSION)))
 
 
 _UNIQUE = ("cccd", "so_dien_thoai")
@@ -251,7 +245,7 @@ def _check_unique(
             "statement_id", key, *pair, F.lit("repeated_in_batch").alias("ly_do")
         )
         violations = violations.unionByName(in_batch)
-    return _checked(rows, violations.withColumn("thong_bao", F.lit(MSG_PERSON)))
+    return _checked(rows, violations.withColumn("thong_bao", F.lit(M.PERSON_EXISTS)))
 
 
 def check_unique_reader(tables: Tables, inserted: DataFrame, strict: bool = False) -> Checked:
@@ -283,7 +277,7 @@ def check_book_delete(tables: Tables, deleted: DataFrame) -> Checked:
         rows.select("statement_id", "ma_sach")
         .distinct()
         .join(few_per_key(busy, ["ma_sach"]), "ma_sach", "left_semi")
-        .withColumn("thong_bao", F.lit(MSG_DELETE))
+        .withColumn("thong_bao", F.lit(M.BOOK_ON_LOAN))
     )
     return _checked(rows, violations)
 

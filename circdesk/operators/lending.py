@@ -8,12 +8,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from circdesk.functions.dates import moment, plus_days
-from circdesk.functions.reasons import Check, first_failing, text_of
+from circdesk.functions.reasons import Check, fill, first_failing
+from circdesk.model import messages as M
 from circdesk.model import vocab as V
 from circdesk.model.tables import Tables
 from circdesk.operators.admission import KEY, refused_requests
 from circdesk.operators.checks import (
-    MSG_LIMIT,
     demand_per_book,
     with_statement,
     without_statements,
@@ -69,35 +69,35 @@ def _card_facts(tables: Tables, as_of: AsOf) -> DataFrame:
 def _request_checks(as_of: AsOf) -> list[Check]:
     days, count, items = F.col("so_ngay_muon"), F.col("so_sach"), F.col("_ma")
     return [
-        Check("card_not_found", F.col("_co_the").isNull(), "Thẻ thư viện không tồn tại!"),
+        Check("card_not_found", F.col("_co_the").isNull(), M.CARD_UNKNOWN),
         Check(
             "card_not_active",
             F.col("_tt_the") != V.HOAT_DONG,
-            F.concat(F.lit("Thẻ thư viện không còn hoạt động! Trạng thái: "), F.col("_tt_the")),
+            fill(M.CARD_INACTIVE, "_tt_the"),
         ),
-        Check("card_expired", F.col("ngay_het_han") < moment(as_of), "Thẻ thư viện đã hết hạn!"),
+        Check("card_expired", F.col("ngay_het_han") < moment(as_of), M.CARD_EXPIRED),
         Check(
             "overdue_debt",
             F.col("_no"),
-            "Độc giả đang có sách mượn quá hạn chưa trả. Vui lòng trả sách trước khi mượn mới!",
+            M.IN_DEBT,
         ),
         Check(
             "term_too_long",
             days > V.MAX_LOAN_DAYS,
-            "Thời gian mượn tối đa là 60 ngày (2 tháng)!",
+            M.TERM_TOO_LONG,
         ),
-        Check("term_not_positive", days <= 0, "Thời gian mượn phải lớn hơn 0!"),
-        Check("bad_item", F.exists(items, lambda x: x.isNull()), "Lỗi: mã sách không hợp lệ"),
+        Check("term_not_positive", days <= 0, M.TERM_NOT_POSITIVE),
+        Check("bad_item", F.exists(items, lambda x: x.isNull()), M.BAD_ITEM),
         Check(
             "too_many_books",
             count > V.SLIP_LIMIT,
-            "Mỗi lần chỉ được mượn tối đa 10 cuốn sách!",
+            M.TOO_MANY_BOOKS,
         ),
-        Check("empty_list", count == 0, "Danh sách sách không được để trống!"),
+        Check("empty_list", count == 0, M.EMPTY_LIST),
         Check(
             "duplicate_book",
             F.size(F.array_distinct(items)) < F.size(items),
-            "Lỗi: một sách có hai lần trong danh sách",
+            M.DUPLICATE_BOOK,
         ),
     ]
 
@@ -151,12 +151,12 @@ def _book_checks(taken: Column) -> list[Check]:
         Check(
             "book_not_found",
             F.col("_co_sach").isNull(),
-            F.concat(F.lit("Sách có mã "), text_of(F.col("ma_sach")), F.lit(" không tồn tại!")),
+            fill(M.BOOK_UNKNOWN, "ma_sach"),
         ),
         Check(
             "out_of_stock",
             F.col("suc_chua") - taken <= 0,
-            F.concat(F.lit('Sách "'), F.col("ten_sach"), F.lit('" đã hết trong kho!')),
+            fill(M.BOOK_OUT, "ten_sach"),
         ),
     ]
 
@@ -180,7 +180,7 @@ def screen_loans(
     )
     over = F.col("dang_muon") + F.col("so_sach") > limit
     ly_do = F.coalesce("ly_do", "_first._code", F.when(over, "loan_limit"))
-    text = F.coalesce("thong_bao", "_first._text", F.when(over, MSG_LIMIT))
+    text = F.coalesce("thong_bao", "_first._text", F.when(over, M.LOAN_LIMIT))
     return screened.join(first, "request_id", "left").select(
         "request_id", "seq", ly_do.isNull().alias("thanh_cong"), ly_do.alias("ly_do"),
         text.alias("thong_bao"),
@@ -239,7 +239,7 @@ def create_loans(
     first = (
         seen.where(~F.col("_ung_vien") | F.col("_tu_choi"))
         .withColumn("_code", F.when(on_card & no_room, "loan_limit").when(~on_card, code))
-        .withColumn("_text", F.when(on_card, MSG_LIMIT).otherwise(message))
+        .withColumn("_text", F.when(on_card, M.LOAN_LIMIT).otherwise(message))
         .where(F.col("_code").isNotNull())
         .groupBy("request_id")
         .agg(F.min(F.struct("vi_tri", "_code", "_text")).alias("_first"))
@@ -256,9 +256,7 @@ def create_loans(
         "ma_phieu_muon",
     )
     ok = F.col("ly_do").isNull()
-    success = F.concat(
-        F.lit("Tạo phiếu mượn thành công! Mã phiếu mượn: "), text_of(F.col("ma_phieu_muon"))
-    )
+    success = fill(M.LOAN_MADE, "ma_phieu_muon")
     now = moment(as_of)
     made = settled.where(ok)
     return Loans(

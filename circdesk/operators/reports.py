@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from circdesk.functions.dates import days_between, moment, period_start, plus_days
 from circdesk.functions.fines import MONEY
-from circdesk.functions.reasons import text_of
+from circdesk.functions.reasons import fill
+from circdesk.model import messages as M
 from circdesk.model import vocab as V
 from circdesk.model.tables import Tables
 from circdesk.operators.measures import (
@@ -108,15 +109,7 @@ def expired_card_notice(tables: Tables, as_of: AsOf) -> DataFrame:
     expired = tables.the_thu_vien.where(F.col("ngay_het_han") < now).select(
         "ma_doc_gia", "ma_the", days_between(F.col("ngay_het_han"), now).alias("so_ngay_qua_han")
     )
-    message = F.concat(
-        F.lit("Độc giả "),
-        text_of(F.col("ma_doc_gia")),
-        F.lit(" (Mã thẻ "),
-        text_of(F.col("ma_the")),
-        F.lit(") đã quá hạn "),
-        text_of(F.col("so_ngay_qua_han")),
-        F.lit(" ngày"),
-    )
+    message = fill(M.CARD_NOTICE, "ma_doc_gia", "ma_the", "so_ngay_qua_han")
     readers = tables.doc_gia.select("ma_doc_gia")
     return expired.join(readers, "ma_doc_gia").withColumn("thong_bao", message)
 
@@ -126,14 +119,7 @@ def rarely_borrowed_notice(tables: Tables, threshold: int = 2) -> DataFrame:
     counts = tables.chi_tiet.groupBy("ma_sach").agg(
         F.count("ma_phieu_muon").alias("so_lan_muon")
     )
-    message = F.concat(
-        F.lit('Sách "'),
-        F.col("ten_sach"),
-        F.lit('" (Mã sách: '),
-        text_of(F.col("ma_sach")),
-        F.lit(") ít được mượn – Số lần mượn: "),
-        text_of(F.col("so_lan_muon")),
-    )
+    message = fill(M.BOOK_NOTICE, "ten_sach", "ma_sach", "so_lan_muon")
     return (
         tables.sach.select("ma_sach", "ten_sach")
         .join(counts, "ma_sach", "left")

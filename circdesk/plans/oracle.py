@@ -8,9 +8,8 @@ from __future__ import annotations
 
 import re
 
+from circdesk.model import messages as M
 from circdesk.model import vocab as V
-from circdesk.operators import batches as B
-from circdesk.operators import checks as C
 from circdesk.sources.derived import AS_OF, CATEGORIES, LINE_ID_SPAN
 
 NOW = f"TIMESTAMP '{AS_OF}'"
@@ -200,11 +199,11 @@ def _inserted_lines(per_statement: int) -> str:
 for _n in (1, 2, 4, 20):
     _PARTS[f"new_lines_{_n}"] = _inserted_lines(_n)
     _PARTS[f"short_{_n}"] = f"""SELECT statement_id, d.ma_sach, nhu_cau, CAST(so_luong AS BIGINT) AS so_luong,
-      '{C.MSG_STOCK}' AS thong_bao
+      '{M.NOT_ENOUGH_STOCK}' AS thong_bao
       FROM (SELECT statement_id, ma_sach, count(*) AS nhu_cau FROM new_lines_{_n} GROUP BY 1, 2) d
       JOIN sach s ON s.ma_sach = d.ma_sach WHERE so_luong < nhu_cau"""
     _PARTS[f"over_{_n}"] = f"""SELECT statement_id, w.ma_the, muon_moi, coalesce(n, 0) AS dang_muon,
-      '{C.MSG_LIMIT}' AS thong_bao
+      '{M.LOAN_LIMIT}' AS thong_bao
       FROM (SELECT statement_id, ma_the, count(i.ma_sach) AS muon_moi FROM new_lines_{_n} i
             JOIN phieu_muon USING (ma_phieu_muon) GROUP BY 1, 2) w
       LEFT JOIN held_per_card h ON h.ma_the = w.ma_the WHERE muon_moi + coalesce(n, 0) > 5"""
@@ -281,7 +280,7 @@ def _screen(so_luong_is: str) -> dict[str, str]:
               CASE WHEN loai = 'the' THEN CASE WHEN lay + so_luong > suc_chua THEN 'loan_limit' END
                    WHEN NOT co_sach THEN 'book_not_found'
                    WHEN suc_chua - lay <= 0 THEN 'out_of_stock' END AS ly_do,
-              CASE WHEN loai = 'the' THEN '{C.MSG_LIMIT}'
+              CASE WHEN loai = 'the' THEN '{M.LOAN_LIMIT}'
                    WHEN NOT co_sach THEN 'Sách có mã ' || khoa || ' không tồn tại!'
                    ELSE 'Sách "' || ten_sach || '" đã hết trong kho!' END AS loi
             FROM used{tag} WHERE NOT nhan) x WHERE ly_do IS NOT NULL GROUP BY request_id""",
@@ -314,7 +313,7 @@ _PARTS |= {
           CASE WHEN loai = 'the' THEN CASE WHEN so_luong > suc_chua THEN 'loan_limit' END
                WHEN NOT co_sach THEN 'book_not_found'
                WHEN suc_chua <= 0 THEN 'out_of_stock' END AS ly_do,
-          CASE WHEN loai = 'the' THEN '{C.MSG_LIMIT}'
+          CASE WHEN loai = 'the' THEN '{M.LOAN_LIMIT}'
                WHEN NOT co_sach THEN 'Sách có mã ' || khoa || ' không tồn tại!'
                ELSE 'Sách "' || ten_sach || '" đã hết trong kho!' END AS loi
         FROM all_claims) x WHERE ly_do IS NOT NULL GROUP BY request_id""",
@@ -399,7 +398,7 @@ def _unique(existing: str, key: str, rows: str, own: bool) -> str:
         "WHERE EXISTS (SELECT 1 FROM {existing} e WHERE e.{c} = i.{c}{other})"
     )
     return " UNION ALL ".join(
-        half.format(key=key, c=c, msg=C.MSG_PERSON, rows=rows, existing=existing, other=other)
+        half.format(key=key, c=c, msg=M.PERSON_EXISTS, rows=rows, existing=existing, other=other)
         for c in ("cccd", "so_dien_thoai")
     )
 
@@ -444,10 +443,10 @@ _NEW_LINE = (
 )
 _EXT_TEXT = f"""CASE ly_do
   WHEN 'not_approved' THEN 'Yêu cầu gia hạn chưa được duyệt! Trạng thái hiện tại: ' || tt
-  WHEN 'already_extended' THEN '{B.MSG_EXT_TWICE}' WHEN 'too_late' THEN '{B.MSG_EXT_LATE}'
+  WHEN 'already_extended' THEN '{M.EXTENDED_ALREADY}' WHEN 'too_late' THEN '{M.EXTENDED_TOO_LATE}'
   ELSE 'Gia hạn sách thành công! Ngày trả dự kiến mới: ' || strftime(ngay_gia_han, '%d/%m/%Y') END"""
-_RET_TEXT = f"""CASE ly_do WHEN 'already_returned' THEN '{B.MSG_RETURNED}'
-  WHEN 'over_30_days_late' THEN '{B.MSG_OVER_30}' WHEN 'bad_condition' THEN '{B.MSG_CONDITION}'
+_RET_TEXT = f"""CASE ly_do WHEN 'already_returned' THEN '{M.RETURNED_ALREADY}'
+  WHEN 'over_30_days_late' THEN '{M.OVER_30_DAYS}' WHEN 'bad_condition' THEN '{M.BAD_CONDITION}'
   ELSE CASE WHEN tien_phat > 0 THEN 'Trả sách thành công! Tiền phạt: '
     || format('{{:,}}', CAST(round(tien_phat, 0) AS BIGINT)) || ' VNĐ. Mã hóa đơn: ' || ma_hoa_don
     ELSE 'Trả sách thành công! Không có tiền phạt.' END END"""
@@ -513,7 +512,7 @@ _BODY: dict[str, str] = {
     "t2_restock_on_return_literal": _restock((V.DANG_MUON, V.TRE_HEN), (V.DA_TRA,), (V.TOT,)),
     "t3_check_card": "SELECT DISTINCT statement_id, ma_the, "
     f"CASE WHEN ngay_het_han < {NOW} THEN 'card_expired' ELSE 'card_not_active' END AS ly_do, "
-    f"'{C.MSG_CARD}' AS thong_bao FROM inserted_slips JOIN the_thu_vien USING (ma_the) "
+    f"'{M.CARD_REFUSED}' AS thong_bao FROM inserted_slips JOIN the_thu_vien USING (ma_the) "
     f"WHERE ngay_het_han < {NOW} OR trang_thai <> '{V.HOAT_DONG}'",
     "t3_accepted_slips": "SELECT * FROM inserted_slips WHERE statement_id NOT IN (SELECT statement_id "
     f"FROM inserted_slips JOIN the_thu_vien USING (ma_the) WHERE ngay_het_han < {NOW} "
@@ -524,7 +523,7 @@ _BODY: dict[str, str] = {
     "t1_t4_admit_statements": "SELECT statement_id, ma_phieu_muon, ma_sach FROM new_lines_2 "
     "WHERE statement_id NOT IN (FROM line_refused)",
     "t5_check_single_extension": "SELECT statement_id, ma_phieu_muon, ma_sach, 'already_requested' AS ly_do, "
-    f"'{C.MSG_EXTENSION}' AS thong_bao FROM inserted_extensions i WHERE EXISTS (SELECT 1 FROM yeu_cau_gia_han y "
+    f"'{M.ONE_EXTENSION}' AS thong_bao FROM inserted_extensions i WHERE EXISTS (SELECT 1 FROM yeu_cau_gia_han y "
     "WHERE y.ma_phieu_muon = i.ma_phieu_muon AND y.ma_sach = i.ma_sach)",
     "t6_check_unique_reader": _unique(
         "doc_gia", "ma_doc_gia",
@@ -542,7 +541,7 @@ _BODY: dict[str, str] = {
         _shifted("nhan_vien", "ma_nhan_vien", "ma_nhan_vien", "cccd",
                  "ma_nhan_vien * 2 + 8000000000"), True),
     "s6_check_book_delete": "SELECT DISTINCT ma_sach AS statement_id, ma_sach, "
-    f"'{C.MSG_DELETE}' AS thong_bao FROM sach JOIN chi_tiet USING (ma_sach) "
+    f"'{M.BOOK_ON_LOAN}' AS thong_bao FROM sach JOIN chi_tiet USING (ma_sach) "
     f"WHERE trang_thai_muon = '{V.DANG_MUON}'",
     "p1_screen_loans": "SELECT r.request_id, seq, coalesce(ly_do_1, ly_do_2) IS NULL AS thanh_cong, "
     f"coalesce(ly_do_1, ly_do_2) AS ly_do, CASE WHEN ly_do_1 IS NOT NULL THEN {_LOAN_TEXT} ELSE loi_2 END "
@@ -584,7 +583,7 @@ _BODY: dict[str, str] = {
     "WHEN 'negative_stock' THEN 'Số lượng sách phải >= 0!' WHEN 'negative_price' THEN 'Đơn giá phải >= 0!' "
     "WHEN 'author_not_found' THEN 'Tác giả có mã ' || muc || ' không tồn tại!' "
     "ELSE 'Thêm sách mới thành công! Mã sách: ' || ma_sach END AS thong_bao, ma_sach FROM books_done",
-    "p4_new_authors": f"SELECT ma_tac_gia, muc AS ten_tac_gia, '{V.NEW_AUTHOR_NOTE}' AS mo_ta FROM new_names",
+    "p4_new_authors": f"SELECT ma_tac_gia, muc AS ten_tac_gia, '{M.NEW_AUTHOR_NOTE}' AS mo_ta FROM new_names",
     "p4_new_links": "SELECT DISTINCT coalesce(CASE WHEN la_ma THEN TRY_CAST(w.muc AS BIGINT) END, "
     "(SELECT min(ma_tac_gia) FROM tac_gia t WHERE NOT la_ma AND t.ten_tac_gia = w.muc), n.ma_tac_gia) "
     "AS ma_tac_gia, ma_sach FROM wanted w LEFT JOIN new_names n ON n.muc = w.muc",
@@ -608,7 +607,7 @@ _BODY: dict[str, str] = {
     "FROM decided WHERE chap_nhan GROUP BY 1, 2) d "
     "ON d.ma_phieu_muon = c.ma_phieu_muon AND d.ma_sach = c.ma_sach",
     "p7_cancel_cards": "SELECT request_id, seq, ly_do IS NULL AS thanh_cong, ly_do, "
-    f"CASE ly_do WHEN 'has_open_loans' THEN '{B.MSG_HOLDS_BOOKS}' END AS thong_bao FROM cancelled",
+    f"CASE ly_do WHEN 'has_open_loans' THEN '{M.HOLDS_BOOKS}' END AS thong_bao FROM cancelled",
     "p7_cards_after": "SELECT t.* REPLACE (CASE WHEN ma_doc_gia IN (SELECT ma_doc_gia FROM cancelled "
     f"WHERE ly_do IS NULL) THEN '{V.BI_HUY}' ELSE trang_thai END AS trang_thai) FROM the_thu_vien t",
     "p7_readers_after": "SELECT ma_doc_gia, CASE WHEN ma_doc_gia IN (SELECT ma_doc_gia FROM cancelled "

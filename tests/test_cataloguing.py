@@ -2,7 +2,7 @@ from decimal import Decimal
 
 import pytest
 
-from circdesk.model import vocab as V
+from circdesk.model import messages as M
 from circdesk.operators.cataloguing import ingest_books
 from circdesk.sources.library import library_of
 from tests.conftest import rows
@@ -51,7 +51,7 @@ def test_books_authors_and_links(spark, lib):
     assert found[0][3] == "Thêm sách mới thành công! Mã sách: 11"
     # a name used only by failed requests creates nobody
     assert rows(made.authors, "ma_tac_gia", "ten_tac_gia", "mo_ta") == [
-        (4, "Mới", V.NEW_AUTHOR_NOTE), (5, "Hai", V.NEW_AUTHOR_NOTE)
+        (4, "Mới", M.NEW_AUTHOR_NOTE), (5, "Hai", M.NEW_AUTHOR_NOTE)
     ]
     assert rows(made.links, "ma_sach", "ma_tac_gia") == [
         (11, 1), (11, 4), (13, 2), (13, 4), (13, 5), (15, 2)

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from circdesk.model import vocab
+from circdesk.model import messages, vocab
 from circdesk.operators import checks, measures, reports
 from circdesk.operators.skew import spread_join
 from circdesk.sources.derived import AS_OF, derived_library
@@ -125,7 +125,7 @@ def test_people_check_has_one_equi_join(stored):
 
 
 def test_words_are_in_composed_form():
-    for name, value in vars(vocab).items():
+    for name, value in [*vars(vocab).items(), *vars(messages).items()]:
         for word in (value,) if isinstance(value, str) else value if isinstance(value, tuple) else ():
             assert word == unicodedata.normalize("NFC", word), name
 
