@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from circdesk.llm.exact_dedup import exact_duplicates
+from circdesk.llm.language import classify, fit
+from circdesk.llm.mixing import mix
 from circdesk.llm.support import table
 
 
@@ -12,8 +14,21 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents")).select(
+        "doc_id", "size", "source_size", "target", "taken", "source", "copies"
+    )
+
+
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return classify(docs, fit(docs))
+
+
 QUERIES = {
     "op3_exact_dedup": op3_exact_dedup,
+    "op7_mixing": op7_mixing,
+    "op9_language": op9_language,
 }
 
 ORACLE = {
