@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from circdesk.llm import id_files, packing
 from circdesk.llm.exact_dedup import exact_duplicates
 from circdesk.llm.language import classify, fit
 from circdesk.llm.mixing import mix
 from circdesk.llm.support import table
 
+TOKENIZER = "byte_bpe_50k.json"
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return packing.pack(packing.token_pieces(docs, public_tokenizers.path(TOKENIZER)))
+
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
@@ -20,14 +29,21 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return id_files.read_documents(id_files.write_ids(docs, public_tokenizers.path(TOKENIZER)))
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return classify(docs, fit(docs))
 
 
 QUERIES = {
+    "op2_packing": op2_packing,
     "op3_exact_dedup": op3_exact_dedup,
     "op7_mixing": op7_mixing,
+    "op8_id_files": op8_id_files,
     "op9_language": op9_language,
 }
 
