@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from circdesk.llm import id_files, packing
 from circdesk.llm.exact_dedup import exact_duplicates
 from circdesk.llm.language import classify, fit
+from circdesk.llm.line_dedup import repeated_lines
 from circdesk.llm.mixing import mix
 from circdesk.llm.support import table
 
@@ -39,12 +40,17 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(docs, fit(docs))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_lines(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_packing": op2_packing,
     "op3_exact_dedup": op3_exact_dedup,
     "op7_mixing": op7_mixing,
     "op8_id_files": op8_id_files,
     "op9_language": op9_language,
+    "op10_line_dedup": op10_line_dedup,
 }
 
 ORACLE = {
