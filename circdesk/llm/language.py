@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from circdesk.llm.support import pieces
+from circdesk.llm.support import durable, pieces
 
 UNKNOWN = "und"
 BUCKETS = 1 << 16
@@ -59,7 +59,8 @@ def fit(
     labelled = docs.where(
         (_rest(F.col("doc_id")) != 2) & F.col("lang").isNotNull() & has_letter(F.col("text"))
     ).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text")
-    rates = labelled.groupBy("lang").agg((F.lit(2.0 * texts_per_language) / F.count(F.lit(1))).alias("rate"))
+    # One row per language, from a file: Spark sees that it is small and need not shuffle the texts.
+    rates = durable(labelled.groupBy("lang").agg((F.lit(2.0 * texts_per_language) / F.count(F.lit(1))).alias("rate")))
     draw = F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(1 << 40)) / float(1 << 40)
     drawn = labelled.withColumn("draw", draw).join(rates, "lang").where("draw < rate")
     place = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "doc_id"))
