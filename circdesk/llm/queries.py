@@ -11,8 +11,10 @@ from circdesk.llm.language import classify, fit
 from circdesk.llm.line_dedup import repeated_lines
 from circdesk.llm.mixing import mix
 from circdesk.llm.support import table
+from circdesk.llm.surrogates import replace_entities
 
 TOKENIZER = "byte_bpe_50k.json"
+SURROGATE_KEY = "only for the registered query"  # a deployment passes a secret of its own
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +26,10 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replace_entities(table(spark, sf_dir, "documents"), SURROGATE_KEY)
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select(
         "doc_id", "size", "source_size", "target", "taken", "source", "copies"
@@ -47,6 +53,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_packing": op2_packing,
     "op3_exact_dedup": op3_exact_dedup,
+    "op5_surrogates": op5_surrogates,
     "op7_mixing": op7_mixing,
     "op8_id_files": op8_id_files,
     "op9_language": op9_language,
