@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from circdesk.llm import id_files, packing
 from circdesk.llm.exact_dedup import exact_duplicates
+from circdesk.llm.jaccard_join import similar_documents
 from circdesk.llm.language import classify, fit
 from circdesk.llm.line_dedup import repeated_lines
 from circdesk.llm.mixing import mix
@@ -26,6 +27,10 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_documents(table(spark, sf_dir, "documents"))
+
+
 def op5_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replace_entities(table(spark, sf_dir, "documents"), SURROGATE_KEY)
 
@@ -53,6 +58,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_packing": op2_packing,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_jaccard_join": op4_jaccard_join,
     "op5_surrogates": op5_surrogates,
     "op7_mixing": op7_mixing,
     "op8_id_files": op8_id_files,

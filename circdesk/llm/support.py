@@ -63,7 +63,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             break
         seen = now
     if not seen["n"]:
-        return spark.createDataFrame([], "node long, component_id long")
+        return edges.select(F.col("u").alias("node"), F.col("v").alias("component_id"))
     stars = edges.select(F.col("u").alias("node"), F.col("v").alias("component_id"))
     return stars.unionByName(
         edges.select(F.col("v").alias("node"), F.col("v").alias("component_id")).distinct()
