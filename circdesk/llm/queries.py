@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from circdesk.llm import id_files, packing
+from circdesk.llm.embedding_dedup import linked_vectors
 from circdesk.llm.exact_dedup import exact_duplicates
 from circdesk.llm.jaccard_join import similar_documents
 from circdesk.llm.language import classify, fit
@@ -18,6 +19,10 @@ TOKENIZER = "byte_bpe_50k.json"
 SURROGATE_KEY = "only for the registered query"  # a deployment passes a secret of its own
 
 
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linked_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return packing.pack(packing.token_pieces(docs, public_tokenizers.path(TOKENIZER)))
@@ -56,6 +61,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_embedding_dedup": op1_embedding_dedup,
     "op2_packing": op2_packing,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_jaccard_join": op4_jaccard_join,
