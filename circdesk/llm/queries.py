@@ -12,6 +12,7 @@ from circdesk.llm.jaccard_join import similar_documents
 from circdesk.llm.language import classify, fit
 from circdesk.llm.line_dedup import repeated_lines
 from circdesk.llm.mixing import mix
+from circdesk.llm.substring_dedup import without_repeats
 from circdesk.llm.support import table
 from circdesk.llm.surrogates import replace_entities
 
@@ -40,6 +41,10 @@ def op5_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replace_entities(table(spark, sf_dir, "documents"), SURROGATE_KEY)
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return without_repeats(table(spark, sf_dir, "documents"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select(
         "doc_id", "size", "source_size", "target", "taken", "source", "copies"
@@ -66,6 +71,7 @@ QUERIES = {
     "op3_exact_dedup": op3_exact_dedup,
     "op4_jaccard_join": op4_jaccard_join,
     "op5_surrogates": op5_surrogates,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_mixing": op7_mixing,
     "op8_id_files": op8_id_files,
     "op9_language": op9_language,
