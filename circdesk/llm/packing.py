@@ -143,7 +143,10 @@ def _packer(capacity: int, open_bins: int, level: int):
         first = (level << 58) | (task << 34)
         bins, new = Bins(capacity, open_bins), first
         for batch in batches:
-            lengths = batch.column("length").to_numpy(zero_copy_only=False).tolist()
+            # Within a batch the long pieces go first; over the batches arrival is at random.
+            order = np.argsort(-batch.column("length").to_numpy(zero_copy_only=False), kind="stable")
+            batch = batch.take(pa.array(order))
+            lengths = batch.column("length").to_pylist()
             seq, offset = [], []
             for n in lengths:
                 b, o, _ = bins.place(n, new)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,3 +69,14 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return stars.unionByName(
         edges.select(F.col("v").alias("node"), F.col("v").alias("component_id")).distinct()
     )
+
+
+def roots(near: np.ndarray) -> np.ndarray:
+    """For each row of a small symmetric 0-1 matrix, the first row of its connected component."""
+    label = np.arange(len(near))
+    while True:
+        low = np.minimum(label, np.where(near, label[None, :], len(near)).min(1, initial=len(near)))
+        low = low[low]
+        if (low == label).all():
+            return label
+        label = low
