@@ -14,7 +14,7 @@ the loop needs no round limit.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from circdesk.operators.ordering import BLOCK, totals_before
@@ -48,27 +48,30 @@ def refused_requests(claims: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> D
     """Distinct ``request_id`` that do not fit; all other requests in ``claims`` do.
 
     ``claims`` has the columns of ``CLAIM`` with one row per (request, key) and comes from files.
-    The rounds use plain windows when every key and request is known to be small enough for one
-    task, and split both otherwise; the results are the same.
+    Each round takes two passes, since the acceptances of one let the next one reject. A key on which
+    nothing waits any more leaves the rounds, so these shrink to what is undecided; accepted requests
+    stay only on keys that others still wait for.
     """
     contended, size = durable(contended_claims(claims), key=F.max("_n"))
     names = contended.select("request_id").distinct()
-    if not size["key"]:
-        return names
-    per_request = contended.groupBy("request_id").agg(F.count(F.lit(1)).alias("_n"))
-    largest = max(size["key"], per_request.agg(F.max("_n")).first()[0])
-    small = largest <= rows_per_task
-    left, waiting = contended.drop("_n").withColumn("_nhan", F.lit(False)), True
+    accepted: list[DataFrame] = []
+    left, waiting = contended.drop("_n").withColumn("_nhan", F.lit(False)), bool(size["key"])
     while waiting:
-        left = _next_round(left, small)
-        if small:  # acceptances of one pass let the next one reject; both fit in one plan
-            left = _next_round(left, small)
+        left = _next_round(_next_round(left, rows_per_task), rows_per_task)
         left, seen = durable(left, waiting=F.count_if(~F.col("_nhan")))
         waiting = seen["waiting"] > 0
-    return names.join(left.select("request_id").distinct(), "request_id", "left_anti")
+        accepted.append(left.where("_nhan").select("request_id"))
+        busy = left.where(~F.col("_nhan")).select(*KEY).distinct()
+        left = left.join(busy, KEY, "left_semi")
+    if not accepted:
+        return names
+    whole = accepted[0]
+    for rows in accepted[1:]:
+        whole = whole.unionByName(rows)
+    return names.join(whole.distinct(), "request_id", "left_anti")
 
 
-def _next_round(claims: DataFrame, small: bool) -> DataFrame:
+def _next_round(claims: DataFrame, rows_per_task: int) -> DataFrame:
     """Mark newly accepted requests and leave out the rejected ones.
 
     Rejected claims are gone, so the plain running total is the pessimistic one and the total of
@@ -77,28 +80,19 @@ def _next_round(claims: DataFrame, small: bool) -> DataFrame:
     amounts = claims.withColumn(
         "_da_nhan", F.when(F.col("_nhan"), F.col("so_luong")).otherwise(F.lit(0))
     )
-    totals = totals_before(amounts, KEY, ["so_luong", "_da_nhan"], small_keys=small)
+    totals = totals_before(amounts, KEY, ["so_luong", "_da_nhan"])
     rows = totals.withColumns(
         {
             "_fits": F.col("so_luong_before") + F.col("so_luong") <= F.col("suc_chua"),
             "_fails": F.col("_da_nhan_before") + F.col("so_luong") > F.col("suc_chua"),
         }
     )
-    if small:
-        request = Window.partitionBy("request_id")
-        rows = rows.withColumns(
-            {
-                "_all_fit": F.min("_fits").over(request),
-                "_any_fails": F.max("_fails").over(request),
-            }
-        )
-    else:
-        verdicts = rows.groupBy("request_id").agg(
-            F.min("_fits").alias("_all_fit"),
-            F.max("_fails").alias("_any_fails"),
-            F.count(F.lit(1)).alias("_n"),
-        )
-        rows = spread_join(rows, verdicts, ["request_id"], "inner", counted="_n")
+    verdicts = rows.groupBy("request_id").agg(
+        F.min("_fits").alias("_all_fit"),
+        F.max("_fails").alias("_any_fails"),
+        F.count(F.lit(1)).alias("_n"),
+    )
+    rows = spread_join(rows, verdicts, ["request_id"], "inner", counted="_n", rows_per_task=rows_per_task)
     return (
         rows.where(F.col("_nhan") | ~F.col("_any_fails"))
         .withColumn("_nhan", F.col("_nhan") | F.col("_all_fit"))

@@ -19,7 +19,6 @@ from circdesk.functions.fines import replacement_fine, whole_number
 from circdesk.functions.reasons import Check, fill, first_failing
 from circdesk.model import messages as M
 from circdesk.model import vocab as V
-from circdesk.model.schema import columns
 from circdesk.model.tables import Tables
 from circdesk.operators.checks import restock_of_changes, with_statement
 from circdesk.operators.deltas import apply_changes
@@ -404,8 +403,3 @@ def bulk_status_set(tables: Tables, changes: DataFrame) -> StatusSet:
     before = tables.chi_tiet.join(changes.select(*LINE), LINE, "left_semi")
     after = changes.join(tables.chi_tiet.select(*LINE), LINE, "left_semi")
     return StatusSet(lines, before, after)
-
-
-def new_lines(rows: DataFrame) -> DataFrame:
-    """Rows shaped like ``chi_tiet``, without their statement."""
-    return rows.select(*columns("chi_tiet"))

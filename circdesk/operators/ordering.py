@@ -27,23 +27,14 @@ def totals_before(
     keys: Sequence[str],
     amounts: Sequence[str],
     order: Sequence[str] = REQUEST_ORDER,
-    small_keys: bool = False,
 ) -> DataFrame:
     """Add ``<amount>_before``: its sum over earlier rows of the same key, 0 for the first.
 
     Two levels: sums per (key, block) are totalled over the blocks of a key, and the rows are
     totalled inside their own (key, block). The largest group any task sorts is one block of one
     key, whatever share of the rows that key has; the upper level sees one row per block.
-
-    ``small_keys`` states that no key has more rows than one task may sort (the caller has
-    counted them); then a single window does.
     """
     keys = list(keys)
-    if small_keys:
-        earlier = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-        return rows.withColumns(
-            {f"{a}_before": F.coalesce(F.sum(a).over(earlier), F.lit(0)) for a in amounts}
-        )
     group = [*keys, BLOCK]
     earlier_blocks = (
         Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)

@@ -1,86 +1,235 @@
 """Publishing table changes as new versions that readers see all at once or not at all.
 
-A release writes each changed table to a fresh folder and then, last, one small file that lists
-where every table now is. Readers follow the newest list, so a job that dies half way leaves
-nothing visible. Tables that did not change keep their old place.
+A table is a set of parts, folders of Parquet files laid out by a bucket of its first key column. An
+append adds a part and leaves the others alone; an update writes the touched buckets anew and hides
+them in the older parts. Last, one small list is put in place that says which parts, without which
+buckets, the tables now consist of. Readers follow the newest list, so a job that dies half way
+leaves nothing visible, and of two jobs that start from the same release only one can publish.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import partial
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from circdesk.model.schema import columns
+from circdesk.model.schema import KEYS, columns, schema
 from circdesk.model.tables import Tables
-from circdesk.sources.library import read_table
+from circdesk.operators.deltas import apply_changes
 
-_LIST = "release bigint, nguon string, bang string, noi_luu string"
+BUCKETS = 64
+_BUCKET = "_nhom"
+_LIST = "release bigint, nguon string, bang string, noi_luu string, bo_qua array<int>, ket_qua string"
+
+
+@dataclass(frozen=True)
+class Part:
+    place: str
+    hidden: tuple[int, ...] = ()  # buckets that a later part replaces
 
 
 @dataclass(frozen=True)
 class Release:
     number: int = 0
-    places: dict[str, str] = field(default_factory=dict)  # table name -> folder
+    parts: Mapping[str, tuple[Part, ...]] = field(default_factory=dict)
+    outcome: str | None = None  # where the outcomes of the batch are that made this release
 
 
-def _lists(spark: SparkSession, base: str) -> DataFrame | None:
-    try:
-        return spark.read.schema(_LIST).parquet(f"{base.rstrip('/')}/_releases")
-    except AnalysisException as error:
-        if error.getCondition() == "PATH_NOT_FOUND":
-            return None
-        raise
+@dataclass(frozen=True)
+class Update:
+    """New values of ``set_columns`` for the keys in ``changes``, at most one row per key."""
+
+    changes: DataFrame
+    set_columns: Sequence[str]
+
+
+@dataclass(frozen=True)
+class Changes:
+    """What a batch does to the tables: rows added, rows updated, tables replaced, and its outcomes."""
+
+    appended: Mapping[str, DataFrame] = field(default_factory=dict)
+    updated: Mapping[str, Update] = field(default_factory=dict)
+    replaced: Mapping[str, DataFrame] = field(default_factory=dict)
+    outcome: DataFrame | None = None
+
+
+class AlreadyPublished(RuntimeError):
+    """Another writer has published the release this one was about to make."""
+
+
+def _numbers(spark: SparkSession, base: str) -> list[int]:
+    folder = _path(spark, f"{base.rstrip('/')}/_releases")
+    store = _store(spark, base)
+    if not store.exists(folder):
+        return []
+    return sorted(int(f.getPath().getName()) for f in store.listStatus(folder) if f.getPath().getName().isdigit())
+
+
+def _path(spark: SparkSession, place: str):
+    return spark.sparkContext._jvm.org.apache.hadoop.fs.Path(place)
+
+
+def _store(spark: SparkSession, place: str):
+    """The file system that holds a place."""
+    return _path(spark, place).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _list(spark: SparkSession, base: str, number: int) -> list:
+    return spark.read.schema(_LIST).json(f"{base.rstrip('/')}/_releases/{number:012d}").collect()
 
 
 def current_release(spark: SparkSession, base: str) -> Release:
-    """The newest complete release; number 0 before the first one. Eleven rows reach the driver."""
-    lists = _lists(spark, base)
-    if lists is None:
+    """The newest complete release; number 0 before the first one. One row per part reaches the driver."""
+    numbers = _numbers(spark, base)
+    if not numbers:
         return Release()
-    rows = lists.where(F.col("release") == lists.select(F.max("release")).scalar()).collect()
-    return Release(rows[0].release, {r.bang: r.noi_luu for r in rows})
+    parts: dict[str, tuple[Part, ...]] = {}
+    rows = _list(spark, base, numbers[-1])
+    for r in sorted((r for r in rows if r.bang), key=lambda r: r.noi_luu):
+        parts[r.bang] = (*parts.get(r.bang, ()), Part(r.noi_luu, tuple(r.bo_qua or ())))
+    return Release(numbers[-1], parts, next((r.ket_qua for r in rows if r.ket_qua), None))
 
 
 def is_published(spark: SparkSession, base: str, source: str) -> bool:
     """Whether the named piece of input is already part of a release."""
-    lists = _lists(spark, base)
-    return lists is not None and not lists.where(F.col("nguon") == source).isEmpty()
+    try:
+        lists = spark.read.schema(_LIST).json(f"{base.rstrip('/')}/_releases/*")
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return False
+        raise
+    return not lists.where(F.col("nguon") == source).isEmpty()
 
 
 def read_release(spark: SparkSession, base: str) -> Tables:
     release = current_release(spark, base)
     if not release.number:
         raise FileNotFoundError(f"no release under {base}")
-    return Tables(
-        **{n: partial(read_table, spark, release.places[n], n) for n in Tables.names()}
-    )
+    return Tables(**{n: partial(_read, spark, release, n) for n in Tables.names()})
+
+
+def read_outcome(spark: SparkSession, base: str) -> DataFrame | None:
+    """The outcomes of the batch that made the newest release, if it had any."""
+    place = current_release(spark, base).outcome
+    return spark.read.parquet(place) if place else None
+
+
+def _read(spark: SparkSession, release: Release, name: str, buckets: Sequence[int] | None = None) -> DataFrame:
+    """A table of a release, or only some of its buckets; other bucket folders are not opened."""
+    shape = schema(name).add(_BUCKET, T.IntegerType())
+    whole = None
+    for part in release.parts[name]:
+        rows = spark.read.schema(shape).parquet(part.place)
+        if part.hidden:
+            rows = rows.where(~F.col(_BUCKET).isin(*part.hidden))
+        if buckets is not None:
+            rows = rows.where(F.col(_BUCKET).isin(*buckets))
+        rows = rows.select(*columns(name))
+        whole = rows if whole is None else whole.unionByName(rows)
+    return whole
+
+
+def _bucket(name: str):
+    return F.pmod(F.xxhash64(KEYS[name][0]), F.lit(BUCKETS)).cast("int")
 
 
 def publish(
-    spark: SparkSession, base: str, changed: dict[str, DataFrame], source: str | None = None
+    spark: SparkSession, base: str, changed: Mapping[str, DataFrame] | Changes, source: str | None = None,
+    after: Release | None = None,
 ) -> int:
-    """Write the changed tables and make them the newest release; gives its number.
+    """Write the changes and make them the newest release; gives its number.
 
-    ``source`` names the input the changes come from, for ``is_published``. One writer at a time
-    per base folder.
+    A plain mapping replaces whole tables. ``source`` names the input the changes come from, for
+    ``is_published``. ``after`` is the release the changes were worked out from (default: the newest);
+    if another writer has published since, nothing becomes visible and ``AlreadyPublished`` is raised.
     """
-    unknown = set(changed) - set(Tables.names())
-    if unknown:
+    changes = changed if isinstance(changed, Changes) else Changes(replaced=changed)
+    named = {*changes.appended, *changes.updated, *changes.replaced}
+    if unknown := named - set(Tables.names()):
         raise ValueError(f"unknown tables: {sorted(unknown)}")
-    before = current_release(spark, base)
-    missing = set(Tables.names()) - set(before.places) - set(changed)
-    if missing:
+    before = after or current_release(spark, base)
+    if missing := set(Tables.names()) - set(before.parts) - set(changes.replaced):
         raise ValueError(f"the first release needs every table, missing: {sorted(missing)}")
-    number, places = before.number + 1, dict(before.places)
-    for name, df in changed.items():
-        places[name] = f"{base.rstrip('/')}/{name}/{number}-{uuid.uuid4().hex}"
-        df.select(*columns(name)).write.parquet(places[name])
-    rows = [(number, source, name, place) for name, place in sorted(places.items())]
-    lists = spark.createDataFrame(rows, _LIST).coalesce(1)
-    lists.write.mode("append").parquet(f"{base.rstrip('/')}/_releases")
+    number, parts = before.number + 1, dict(before.parts)
+
+    def write(name: str, rows: DataFrame, fill: bool = False) -> Part:
+        # The highest number sorts last: parts are listed in the order in which they were made.
+        part = Part(f"{base.rstrip('/')}/{name}/{number:012d}-{uuid.uuid4().hex}")
+        if fill:  # new rows may leave columns out
+            rows = rows.withColumns({f.name: F.lit(None).cast(f.dataType) for f in schema(name) if f.name not in rows.columns})
+        laid = rows.select(*columns(name)).withColumn(_BUCKET, _bucket(name))
+        laid.repartition(_BUCKET, F.pmod(F.xxhash64(*KEYS[name]), F.lit(16))).write.partitionBy(_BUCKET).parquet(part.place)
+        return part
+
+    for name, rows in changes.replaced.items():
+        parts[name] = (write(name, rows),)
+    for name, update in changes.updated.items():
+        touched = [r[0] for r in update.changes.select(_bucket(name).alias("n")).distinct().collect()]  # at most BUCKETS
+        if touched:
+            old = _read(spark, Release(number, parts), name, touched)
+            new = write(name, apply_changes(old, update.changes, KEYS[name], update.set_columns))
+            hiding = [Part(p.place, tuple(sorted({*p.hidden, *touched}))) for p in parts[name]]
+            parts[name] = (*[p for p in hiding if len(p.hidden) < BUCKETS], new)
+    for name, rows in changes.appended.items():
+        parts[name] = (*parts[name], write(name, rows, fill=True))
+    outcome = None
+    if changes.outcome is not None:
+        outcome = f"{base.rstrip('/')}/_outcomes/{number:012d}-{uuid.uuid4().hex}"
+        changes.outcome.write.parquet(outcome)
+    rows = [(number, source, n, p.place, list(p.hidden), None) for n, own in sorted(parts.items()) for p in own]
+    _put(spark, base, number, [*rows, (number, source, None, None, None, outcome)])
     return number
+
+
+def _put(spark: SparkSession, base: str, number: int, rows: list[tuple]) -> None:
+    """Write the list aside and rename it to its number, which fails if another list has that name."""
+    aside, target = f"{base.rstrip('/')}/_aside/{uuid.uuid4().hex}", f"{base.rstrip('/')}/_releases/{number:012d}"
+    spark.createDataFrame(rows, _LIST).coalesce(1).write.json(aside)
+    store, hadoop = _store(spark, aside), spark.sparkContext._jvm.org.apache.hadoop.fs
+    written = next(f.getPath() for f in store.listStatus(_path(spark, aside)) if f.getPath().getName().startswith("part-"))
+    store.mkdirs(_path(spark, target).getParent())
+    never_over = spark.sparkContext._gateway.new_array(getattr(hadoop, "Options$Rename"), 1)
+    never_over[0] = getattr(hadoop, "Options$Rename").NONE
+    files = hadoop.FileContext.getFileContext(store.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    try:
+        files.rename(store.makeQualified(written), store.makeQualified(_path(spark, target)), never_over)
+    except Exception as error:
+        if "FileAlreadyExists" in str(error):
+            raise AlreadyPublished(f"another writer has published release {number}") from error
+        raise
+
+
+def unused_places(spark: SparkSession, base: str, keep: int = 2) -> list[str]:
+    """Folders of tables and outcomes that none of the newest ``keep`` releases refers to.
+
+    They belong to older releases or to jobs that did not finish. Only look at them while no job is
+    writing and no reader follows an older release; then they can be removed.
+    """
+    used: set[str] = set()
+    for number in _numbers(spark, base)[-keep:]:
+        for r in _list(spark, base, number):
+            used |= {p.rstrip("/").rpartition(base.rstrip("/"))[2] for p in (r.noi_luu, r.ket_qua) if p}
+    found = []
+    for name in (*Tables.names(), "_outcomes"):
+        folder = _path(spark, f"{base.rstrip('/')}/{name}")
+        store = _store(spark, base)
+        if store.exists(folder):
+            found += [f"/{name}/{f.getPath().getName()}" for f in store.listStatus(folder)]
+    return [f"{base.rstrip('/')}{p}" for p in sorted(found) if p not in used]
+
+
+def remove_unused(spark: SparkSession, base: str, keep: int = 2) -> int:
+    """Remove what ``unused_places`` lists, under its conditions; the number of folders removed."""
+    places = unused_places(spark, base, keep)
+    for place in places:
+        _store(spark, place).delete(_path(spark, place), True)
+    return len(places)
+
+
+Step = Callable[[Tables, DataFrame], Changes]

@@ -1,8 +1,8 @@
 """Circulation requests arriving as a stream.
 
 Each micro-batch is handled by the ordinary batch job against the newest release, and its table
-changes become the next release. All state lives in the tables, so there is no watermark and no
-state store.
+changes and outcomes become the next release. All state lives in the tables, so there is no watermark
+and no state store.
 """
 
 from __future__ import annotations
@@ -12,69 +12,85 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import DataStreamWriter
 
-from circdesk.model.schema import KEYS
 from circdesk.model.tables import Tables
 from circdesk.operators.batches import process_returns
-from circdesk.operators.deltas import add_to_stock, append_rows, apply_changes
+from circdesk.operators.deltas import add_to_stock
 from circdesk.operators.lending import create_loans
 from circdesk.operators.measures import AsOf
-from circdesk.sources.versions import is_published, publish, read_release
+from circdesk.operators.scratch import durable
+from circdesk.sources.versions import (
+    Changes,
+    Step,
+    Update,
+    current_release,
+    is_published,
+    publish,
+    read_release,
+)
 
-Step = Callable[[Tables, DataFrame], dict[str, DataFrame]]
+Clock = AsOf | Callable[[], AsOf]
 
 
-def loans_step(as_of: AsOf, so_luong_is: str = "total") -> Step:
-    """New slips and lines; shelf stock also goes down when it is kept net of loans."""
+def _now(clock: Clock) -> AsOf:
+    return clock() if callable(clock) else clock
 
-    def step(tables: Tables, requests: DataFrame) -> dict[str, DataFrame]:
-        made = create_loans(tables, requests, as_of, so_luong_is)
-        changed = {
-            "phieu_muon": append_rows(tables.phieu_muon, made.slips),
-            "chi_tiet": append_rows(tables.chi_tiet, made.lines),
-        }
+
+def loans_step(as_of: Clock, so_luong_is: str = "total") -> Step:
+    """New slips and lines; shelf stock also goes down when it is kept net of loans.
+
+    ``as_of`` is one moment, or a function that is asked for the moment of every batch.
+    """
+
+    def step(tables: Tables, requests: DataFrame) -> Changes:
+        made = create_loans(tables, requests, _now(as_of), so_luong_is)
+        updated = {}
         if so_luong_is == "on_shelf":
             taken = made.lines.groupBy("ma_sach").count().selectExpr("ma_sach", "-count AS them")
-            changed["sach"] = add_to_stock(tables.sach, taken)
-        return changed
+            updated["sach"] = _stock(tables, taken)
+        return Changes({"phieu_muon": made.slips, "chi_tiet": made.lines}, updated, outcome=made.outcome)
 
     return step
 
 
-def returns_step(as_of: AsOf, so_luong_is: str = "total", vocab: str = "canonical") -> Step:
+def returns_step(as_of: Clock, so_luong_is: str = "total", vocab: str = "canonical") -> Step:
     """Closed lines and invoices; shelf stock also goes up when it is kept net of loans."""
 
-    def step(tables: Tables, requests: DataFrame) -> dict[str, DataFrame]:
-        done = process_returns(tables, requests, as_of, vocab)
-        closed = ["ngay_tra_thuc_te", "trang_thai_muon", "trang_thai_sach"]
-        changed = {
-            "chi_tiet": apply_changes(
-                tables.chi_tiet, done.line_changes, KEYS["chi_tiet"], closed
-            ),
-            "hoa_don": append_rows(tables.hoa_don, done.invoices),
-        }
+    def step(tables: Tables, requests: DataFrame) -> Changes:
+        done = process_returns(tables, requests, _now(as_of), vocab)
+        updated = {"chi_tiet": Update(
+            done.line_changes, ["ngay_tra_thuc_te", "trang_thai_muon", "trang_thai_sach"])}
         if so_luong_is == "on_shelf":
-            changed["sach"] = add_to_stock(tables.sach, done.stock_change)
-        return changed
+            updated["sach"] = _stock(tables, done.stock_change)
+        return Changes({"hoa_don": done.invoices}, updated, outcome=done.outcome)
 
     return step
 
 
+def _stock(tables: Tables, per_book: DataFrame) -> Update:
+    books = tables.sach.join(per_book.select("ma_sach"), "ma_sach", "left_semi")
+    return Update(durable(add_to_stock(books, per_book).select("ma_sach", "so_luong")), ["so_luong"])
+
+
 def run_step(
     spark: SparkSession, base: str, step: Step, requests: DataFrame, source: str | None = None
 ) -> int:
     """One batch against the newest release."""
-    return publish(spark, base, step(read_release(spark, base), requests), source)
+    before = current_release(spark, base)
+    return publish(spark, base, step(read_release(spark, base), requests), source, before)
 
 
 def intake(requests: DataFrame, base: str, step: Step, name: str) -> DataStreamWriter:
     """A streaming writer that runs ``step`` on every micro-batch of ``requests``.
 
-    A micro-batch that is replayed after a failure is recognised by its number under ``name`` and
-    not applied again.
+    A micro-batch that is replayed after a failure is recognised and not applied again: by
+    ``name``, its number, and the id of the query, which lives in the checkpoint. A query with a new
+    checkpoint has a new id, so its batches are new ones, whatever numbers they have.
     """
 
     def handle(batch: DataFrame, epoch: int) -> None:
-        spark, source = batch.sparkSession, f"{name}:{epoch}"
+        spark = batch.sparkSession
+        query = spark.sparkContext.getLocalProperty("sql.streaming.queryId")
+        source = f"{name}:{query}:{epoch}"
         if not is_published(spark, base, source) and not batch.isEmpty():
             run_step(spark, base, step, batch, source)
 

@@ -4,7 +4,18 @@ from circdesk.model import vocab as V
 from circdesk.operators.deltas import apply_changes
 from circdesk.operators.scratch import scratch_folder
 from circdesk.sources.library import library_of, rows_of
-from circdesk.sources.versions import current_release, is_published, publish, read_release
+from circdesk.sources.versions import (
+    AlreadyPublished,
+    Changes,
+    Update,
+    current_release,
+    is_published,
+    publish,
+    read_outcome,
+    read_release,
+    remove_unused,
+    unused_places,
+)
 from circdesk.streaming.intake import intake, loans_step, returns_step, run_step
 from tests.conftest import NOW, day, rows
 
@@ -41,7 +52,7 @@ def test_releases(spark, tmp_path):
     new = apply_changes(read_release(spark, base).sach, change, ["ma_sach"], ["so_luong"])
     assert publish(spark, base, {"sach": new}, source="night") == 2
     second = current_release(spark, base)
-    assert {n for n in first.places if first.places[n] != second.places[n]} == {"sach"}
+    assert {n for n in first.parts if first.parts[n] != second.parts[n]} == {"sach"}
     assert rows(read_release(spark, base).sach, "ma_sach", "so_luong") == [(1, None), (2, 1)]
     assert is_published(spark, base, "night") and not is_published(spark, base, "day")
 
@@ -96,8 +107,58 @@ def test_a_stream_of_requests_is_applied_once(spark, tmp_path):
     release = read_release(spark, base)
     assert rows(release.chi_tiet, "ma_sach") == [(1,), (2,)]  # the third request found no copy
     assert rows(release.phieu_muon, "ma_phieu_muon") == [(5,), (6,), (7,)]
-    run("b")  # a replay of the same micro-batches
+    assert rows(read_outcome(spark, base), "request_id", "thanh_cong", "ma_phieu_muon") == [(3, False, None)]
+    run("a")  # nothing has arrived since
     assert current_release(spark, base).number == 4
+    spark.createDataFrame([(4, 4, 1, 1, "1", 14)], LOAN).coalesce(1).write.mode("overwrite").parquet(str(tmp_path / "in2"))
+    arrivals = str(tmp_path / "in2")
+    run("b")  # a new checkpoint counts from 0 again, with other data
+    assert current_release(spark, base).number == 5
+    assert rows(read_release(spark, base).phieu_muon, "ma_phieu_muon") == [(5,), (6,), (7,), (8,)]
+
+
+def test_every_batch_has_its_own_moment(spark, tmp_path):
+    base = str(tmp_path / "lib")
+    publish(spark, base, everything(small_library(spark)))
+    moments = iter(["2001-08-01 00:00:00", "2001-08-05 00:00:00"])
+    step = loans_step(lambda: next(moments))
+    for i in (1, 2):
+        run_step(spark, base, step, spark.createDataFrame([(i, i, 1, 1, str(i), 14)], LOAN))
+    assert rows(read_release(spark, base).phieu_muon, "ma_phieu_muon", "ngay_lap") == [
+        (5, None), (6, day("2001-08-01")), (7, day("2001-08-05"))
+    ]
+
+
+def test_appends_and_updates_leave_other_files_alone(spark, tmp_path):
+    base = str(tmp_path / "lib")
+    lines = [{"ma_phieu_muon": i, "ma_sach": i % 7, "trang_thai_muon": V.DANG_MUON} for i in range(300)]
+    publish(spark, base, everything(small_library(spark).having(chi_tiet=rows_of(spark, "chi_tiet", lines))))
+    first = current_release(spark, base)
+    publish(spark, base, Changes({"chi_tiet": rows_of(spark, "chi_tiet", [{"ma_phieu_muon": 900, "ma_sach": 1}])}))
+    second = current_release(spark, base)
+    assert second.parts["chi_tiet"][0] == first.parts["chi_tiet"][0] and len(second.parts["chi_tiet"]) == 2
+    change = spark.createDataFrame([(5, 5, V.DA_TRA)], "ma_phieu_muon bigint, ma_sach bigint, trang_thai_muon string")
+    publish(spark, base, Changes(updated={"chi_tiet": Update(change, ["trang_thai_muon"])}))
+    third = current_release(spark, base)
+    assert [p.place for p in third.parts["chi_tiet"][:2]] == [p.place for p in second.parts["chi_tiet"]]
+    assert len(third.parts["chi_tiet"][0].hidden) == 1
+    assert spark.read.parquet(third.parts["chi_tiet"][2].place).select("_nhom").distinct().count() == 1
+    now = rows(read_release(spark, base).chi_tiet, "ma_phieu_muon", "trang_thai_muon")
+    assert now == sorted([(i, V.DA_TRA if i == 5 else V.DANG_MUON) for i in range(300)] + [(900, None)])
+
+
+def test_a_second_writer_fails(spark, tmp_path):
+    base = str(tmp_path / "lib")
+    publish(spark, base, everything(small_library(spark)))
+    seen = current_release(spark, base)
+    one, two = ({"hoa_don": rows_of(spark, "hoa_don", [{"ma_hoa_don": i}])} for i in (1, 2))
+    assert publish(spark, base, Changes(one), after=seen) == 2
+    with pytest.raises(AlreadyPublished):
+        publish(spark, base, Changes(two), after=seen)
+    assert rows(read_release(spark, base).hoa_don, "ma_hoa_don") == [(1,)]
+    assert len(unused_places(spark, base, keep=2)) == 1  # what the second writer has left
+    assert remove_unused(spark, base, keep=2) == 1 and unused_places(spark, base) == []
+    assert rows(read_release(spark, base).hoa_don, "ma_hoa_don") == [(1,)]
 
 
 def test_scratch_folder_is_the_one_the_session_names(spark):
