@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
+_own: dict[str, str] = {}  # folders of local sessions that name none
 
 
 def scratch_folder(spark: SparkSession) -> str:
@@ -17,9 +18,10 @@ def scratch_folder(spark: SparkSession) -> str:
         return folder
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError(f"set {_SETTING} to a folder all executors can reach")
-    folder = tempfile.mkdtemp(prefix="circdesk-")
-    spark.conf.set(_SETTING, folder)
-    return folder
+    session = spark.sparkContext.applicationId
+    if session not in _own:
+        _own[session] = tempfile.mkdtemp(prefix="circdesk-")
+    return _own[session]
 
 
 def durable(df: DataFrame, **counts: Column) -> DataFrame | tuple[DataFrame, dict[str, int]]:
