@@ -3,29 +3,57 @@
 from __future__ import annotations
 
 import numpy as np
-import xxhash
 
-_KNOWN = 500_000
 _FACTOR = 0x9E3779B97F4A7C15
+_BLOCK = 1 << 20  # bytes of a text that are hashed together
+_LETTER = np.random.default_rng(5).integers(0, 2**64, 256, np.uint64)  # a fixed random number per byte
+_IS_SPACE = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
 
 
-class _Words(dict):
-    """Word bytes to their 64-bit hash; a bounded memory of what was seen."""
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.multiply.accumulate(out)
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= _KNOWN:
-            self.clear()
-        found = self[word] = xxhash.xxh3_64_intdigest(word)
-        return found
 
-
-_words = _Words()
+_UP, _DOWN = (_powers(base, _BLOCK) for base in (_FACTOR, pow(_FACTOR, -1, 2**64)))
 
 
 def word_hashes(text: str | None) -> np.ndarray:
-    """One hash per word; bytes.split() cuts at the six ASCII spaces and nothing else."""
-    words = (text or "").encode("utf-8", "surrogatepass").split()
-    return np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+    """One hash per word, where words end at the six ASCII spaces and nowhere else.
+
+    A word is the polynomial of its bytes' random numbers, taken for all words of a block at once as
+    the difference of two running sums, moved to the word's own start.
+    """
+    data = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
+    out, at = [np.zeros(0, np.uint64)], 0
+    while at < len(data):
+        space, size = _IS_SPACE[data[at: at + _BLOCK]], _BLOCK
+        while at + size < len(data) and not space.any():  # a word longer than a block
+            size *= 2
+            space = _IS_SPACE[data[at: at + size]]
+        if at + size < len(data):
+            space = space[: len(space) - int(np.argmax(space[::-1]))]
+        out.append(_hashed(data[at: at + len(space)], space))
+        at += len(space)
+    return np.concatenate(out)
+
+
+def _hashed(data: np.ndarray, space: np.ndarray) -> np.ndarray:
+    up, down = _UP, _DOWN
+    if len(data) > _BLOCK:
+        up, down = (_powers(base, len(data)) for base in (_FACTOR, pow(_FACTOR, -1, 2**64)))
+    edges = np.flatnonzero(np.diff(space, prepend=True, append=True))
+    starts, ends = edges[::2], edges[1::2]
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_LETTER[data] * up[: len(data)], out=sums[1:])
+    return scramble((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+
+
+def distinct(values: np.ndarray) -> np.ndarray:
+    """Ascending, each value once; sorting short arrays is faster than numpy's hashed ``unique``."""
+    values = np.sort(values)
+    return values[np.concatenate([[True], values[1:] != values[:-1]])] if len(values) else values
 
 
 def run_hashes(words: np.ndarray, length: int) -> np.ndarray:
