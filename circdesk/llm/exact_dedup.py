@@ -35,9 +35,27 @@ def exact_duplicates(docs: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
     text that a third of all rows share spread over many ranges. Runs that touch the edge of a range
     are joined afterwards by comparing the edge texts of neighbouring ranges, two rows per range.
     """
+    return _grouped(docs, carry, False).select(
+        "doc_id", "keep_id", "group_size", "kept", "text_sha256",
+        *[F.col("carried").getField(c).alias(c) for c in carry if c not in _OWN],
+    )
+
+
+def without_copies(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that stay, with all its columns and their values as they were.
+
+    The text travels once, in the sort, and comes out of it only for the first row of each run.
+    """
+    rest = [c for c in docs.columns if c != "text"]
+    return _grouped(docs, rest, True).where("kept").select(
+        *[F.col("own_text").alias(c) if c == "text" else F.col("carried").getField(c).alias(c) for c in docs.columns]
+    )
+
+
+def _grouped(docs: DataFrame, carry: Sequence[str], with_text: bool) -> DataFrame:
     source = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
-        F.coalesce(F.col("text"), F.lit("")).alias("text"),
+        F.col("text"),
         F.struct(*[F.col(c) for c in carry] or [F.lit(0).alias("none")]).alias("carried"),
     )
     keyed = T.StructType([
@@ -54,9 +72,9 @@ def exact_duplicates(docs: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
         T.StructField("first", T.BooleanType()), T.StructField("doc_id", T.LongType()),
         T.StructField("keep_id", T.LongType()), T.StructField("group_size", T.LongType()),
         T.StructField("text_sha256", T.StringType()), T.StructField("edge_text", T.StringType()),
-        source.schema["carried"],
+        T.StructField("own_text", T.StringType()), source.schema["carried"],
     ])
-    runs = durable(sorted_rows.mapInArrow(_runs, found))
+    runs = durable(sorted_rows.mapInArrow(_runs(with_text), found))
     # At most two rows per range from here on to the join, which bounds the window and the broadcast.
     edges = runs.where("edge_text is not null").select("part", "run", "keep_id", "group_size", "edge_text")
     place = Window.orderBy("part", "run")
@@ -76,8 +94,7 @@ def exact_duplicates(docs: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
         F.when(F.col("wins").isNull(), F.col("keep_id")).otherwise(F.col("all_keep")).alias("keep_id"),
         F.coalesce("all_size", "group_size").alias("group_size"),
         (F.col("first") & F.coalesce("wins", F.lit(True))).alias("kept"),
-        "text_sha256",
-        *[F.col("carried").getField(c).alias(c) for c in carry if c not in _OWN],
+        "text_sha256", "own_text", "carried",
     )
 
 
@@ -85,7 +102,7 @@ _OWN = {"doc_id", "keep_id", "group_size", "kept", "text_sha256"}
 
 
 def _lower(texts: pa.Array) -> pa.Array:
-    return pc.ascii_lower(texts)
+    return pc.ascii_lower(pc.fill_null(texts, ""))
 
 
 def _with_keys(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,41 +115,46 @@ def _with_keys(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _runs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _runs(with_text: bool):
     """Runs of equal texts in one sorted range. A run is held back until it ends: its rows without
-    their texts, at most the rows of one range."""
-    part = TaskContext.get().partitionId()
-    run, text, held = -1, None, []
-
-    def emit(last: bool) -> pa.RecordBatch:
-        rows = pa.Table.from_batches(held)
-        n, ids = rows.num_rows, rows.column("doc_id")
-        edge = [text if run == 0 or last else None] + [None] * (n - 1)
-        return pa.RecordBatch.from_arrays([
-            pa.array([part] * n, pa.int32()), pa.array([run] * n, pa.int64()),
-            pa.array([True] + [False] * (n - 1)), ids.combine_chunks(),
-            pa.array([ids[0].as_py()] * n, pa.int64()), pa.array([n] * n, pa.int64()),
-            rows.column("digest").combine_chunks(), pa.array(edge, pa.string()),
-            rows.column("carried").combine_chunks(),
-        ], names=["part", "run", "first", "doc_id", "keep_id", "group_size", "text_sha256", "edge_text", "carried"])
-
-    out: list[pa.RecordBatch] = []
-    for batch in pieces(batches, _ROWS):
-        texts = _lower(batch.column("text")).to_pylist()
-        thin = batch.select(["doc_id", "digest", "carried"])
-        start = 0
-        for i, t in enumerate(texts):
-            if t == text:
-                continue
-            if i > start:
-                held.append(thin.slice(start, i - start))
-            if held:
-                out.append(emit(False))
-            run, text, held, start = run + 1, t, [], i
-        if texts:
-            held.append(thin.slice(start))
-        if out:
-            yield from pa.Table.from_batches(out).combine_chunks().to_batches()
-            out = []
-    if held:
-        yield emit(True)
+    their texts, at most the rows of one range, and the first row's text as it was if that is wanted."""
+    def run_(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        run, text, own, held = -1, None, None, []
+
+        def emit(last: bool) -> pa.RecordBatch:
+            rows = pa.Table.from_batches(held)
+            n, ids = rows.num_rows, rows.column("doc_id")
+            edge = [text if run == 0 or last else None] + [None] * (n - 1)
+            return pa.RecordBatch.from_arrays([
+                pa.array([part] * n, pa.int32()), pa.array([run] * n, pa.int64()),
+                pa.array([True] + [False] * (n - 1)), ids.combine_chunks(),
+                pa.array([ids[0].as_py()] * n, pa.int64()), pa.array([n] * n, pa.int64()),
+                rows.column("digest").combine_chunks(), pa.array(edge, pa.string()),
+                pa.array([own] + [None] * (n - 1), pa.string()), rows.column("carried").combine_chunks(),
+            ], names=["part", "run", "first", "doc_id", "keep_id", "group_size", "text_sha256", "edge_text",
+                      "own_text", "carried"])
+
+        out: list[pa.RecordBatch] = []
+        for batch in pieces(batches, _ROWS):
+            texts = _lower(batch.column("text")).to_pylist()
+            thin = batch.select(["doc_id", "digest", "carried"])
+            start = 0
+            for i, t in enumerate(texts):
+                if t == text:
+                    continue
+                if i > start:
+                    held.append(thin.slice(start, i - start))
+                if held:
+                    out.append(emit(False))
+                run, text, held, start = run + 1, t, [], i
+                own = batch.column("text")[i].as_py() if with_text else None
+            if texts:
+                held.append(thin.slice(start))
+            if out:
+                yield from pa.Table.from_batches(out).combine_chunks().to_batches()
+                out = []
+        if held:
+            yield emit(True)
+
+    return run_

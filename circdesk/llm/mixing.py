@@ -100,7 +100,7 @@ def mixed_rows(docs: DataFrame, **options: object) -> DataFrame:
         F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"),
     )
     return (
-        rows.alias("l").join(taken.alias("r"), _same(["doc_id", "source", "size"]))
+        rows.alias("l").join(taken.hint("shuffle_hash").alias("r"), _same(["doc_id", "source", "size"]))
         .withColumn("copy", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))))
         .select("row.*")
     )
