@@ -1,9 +1,10 @@
-"""Every registered query against its SQL in DuckDB, on the smallest tables."""
+"""Every query of the library against its SQL in DuckDB, on the smallest tables."""
 
 import duckdb
 import pytest
 
-import __spark_entry__ as entry
+from circdesk.plans.oracle import ORACLE
+from circdesk.plans.registry import QUERIES
 from tests.conftest import SMALL
 from tools.check_oracle import duck, sorted_rows
 
@@ -13,10 +14,10 @@ def con():
     return duck(SMALL)
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_matches_sql(spark, con: duckdb.DuckDBPyConnection, name):
-    df = entry.queries()[name](spark, SMALL)
-    found = con.execute(entry.oracle_sql()[name])
+    df = QUERIES[name](spark, SMALL)
+    found = con.execute(ORACLE[name])
     names = [d[0] for d in found.description]
     assert sorted(df.columns) == sorted(names)
     want = sorted_rows(names, found.fetchall())
