@@ -182,7 +182,7 @@ def write_ids(docs: DataFrame, tokenizer: str, end: int = 2, folder: str | None
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
-    shards = durable(rows.select("doc_id", cut(F.col("text")).alias("cut")).mapInArrow(run, _SHARD))
+    shards = durable(rows.select("doc_id", cut(F.col("text"), tokenizer).alias("cut")).mapInArrow(run, _SHARD))
     earlier = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row per shard
     return shards.withColumn("start", F.coalesce(F.sum("n_ids").over(earlier), F.lit(0)))
 

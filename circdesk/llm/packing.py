@@ -93,7 +93,7 @@ def token_pieces(
             types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=names)
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), cut(F.col("text")).alias("cut"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), cut(F.col("text"), tokenizer).alias("cut"))
     return rows.mapInArrow(run, schema)
 
 

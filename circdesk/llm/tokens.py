@@ -3,7 +3,7 @@
 The byte-level pre-tokenizer's pattern cuts the texts inside Spark; a worker then encodes each
 distinct piece once with the tokenizer's model and puts the ids of a text together from its pieces.
 Texts with characters outside the well-established ranges below go through the tokenizer whole, so
-that different Unicode tables cannot give different cuts.
+that different Unicode tables cannot give different cuts, and so do texts with added tokens.
 """
 
 from __future__ import annotations
@@ -24,10 +24,15 @@ _CACHED = 400_000
 ROWS = 200
 
 
-def cut(text: Column) -> Column:
-    """``struct(cuts array<string>, whole string)``: the pieces, or the text itself if it must stay whole."""
+def cut(text: Column, path: str) -> Column:
+    """``struct(cuts array<string>, whole string)``: the pieces, or the text itself if it must stay whole.
+
+    Texts that hold one of the tokenizer's added tokens, such as a written-out end mark, stay whole.
+    """
     text = F.coalesce(text, F.lit(""))
     settled = text.rlike(rf"\A{_SETTLED}+\z")
+    for added in encoder(path).tokenizer.get_added_tokens_decoder().values():
+        settled &= ~F.contains(text, F.lit(added.content))
     return F.struct(
         F.when(settled, F.regexp_extract_all(text, F.lit(f"(?U)({_PATTERN})"))).alias("cuts"),
         F.when(~settled, text).alias("whole"),
@@ -39,7 +44,6 @@ class Encoder:
 
     def __init__(self, path: str) -> None:
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids are kept in two bytes; this vocabulary is too large")
         self.known: dict[str, bytes] = {}

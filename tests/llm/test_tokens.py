@@ -15,7 +15,6 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 def _ids(text):
     tokenizer = _ids.__dict__.setdefault("tokenizer", Tokenizer.from_file(PATH))
-    tokenizer.encode_special_tokens = True
     return [*tokenizer.encode(text or "", add_special_tokens=False).ids, 2]
 
 
@@ -27,6 +26,7 @@ def test_ids_of_odd_texts(spark):
     draw = random.Random(5)
     letters = "ab Z'9 \t\n\r\u000b\u000c\u001c\u0085 éß你ñ%'s't'll! 　😀́ͅ१ⅷ‍_'re"
     texts = ["".join(draw.choice(letters) for _ in range(draw.randint(0, 60))) for _ in range(600)]
+    texts += ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|> <|endoftext", "你<|endoftext|>"]
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: r for r in token_pieces(rows, PATH, with_ids=True).collect()}
     assert all(got[i].ids == _ids(t) and got[i].ids_crc32 == _crc(_ids(t)) for i, t in enumerate(texts))
