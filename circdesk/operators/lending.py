@@ -114,7 +114,8 @@ def screen_requests(tables: Tables, requests: DataFrame, as_of: AsOf) -> DataFra
     )
     code, message = first_failing(_request_checks(as_of))
     return parsed.select(
-        "request_id", "seq", "ma_the", "ma_nhan_vien", "so_ngay_muon", "so_sach", "_ma",
+        "request_id", "seq", *[c for c in requests.columns if c == BLOCK],
+        "ma_the", "ma_nhan_vien", "so_ngay_muon", "so_sach", "_ma",
         F.coalesce("dang_muon", F.lit(0)).alias("dang_muon"),
         code.alias("ly_do"), message.alias("thong_bao"),
     )
@@ -199,7 +200,8 @@ def create_loans(
     ``so_luong_is`` says what the stored stock means: ``total`` (open loans are subtracted) or
     ``on_shelf`` (already net of loans; null never rejects).
     """
-    screened = in_blocks(screen_requests(tables, requests, as_of))
+    # Finding the ranges of the blocks reads the batch twice, so that comes before the joins.
+    screened = durable(screen_requests(tables, in_blocks(requests), as_of))
     # At most ten books per passing request, so a window over one request is bounded.
     request = Window.partitionBy("request_id")
     has_copy = F.col("_co_sach") & F.coalesce(F.col("suc_chua") > 0, F.lit(True))
@@ -309,7 +311,7 @@ def admit_statements(
         {"request_id": F.col("statement_id"), "seq": F.col("statement_id")}
     )
     # The keys take part in the order of the blocks, so that a huge statement fills several.
-    blocks = in_blocks(claims, (*REQUEST_ORDER, *KEY))
+    blocks = in_blocks(durable(claims), (*REQUEST_ORDER, *KEY))
     refused = refused_requests(blocks).withColumnRenamed("request_id", "statement_id")
     return without_statements(rows, refused)
 

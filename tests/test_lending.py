@@ -5,8 +5,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from circdesk.model import vocab as V
-from circdesk.operators import lending
+from circdesk.operators import admission, lending
+from circdesk.operators import components as components_module
 from circdesk.operators.admission import refused_requests
+from circdesk.operators.components import components
 from circdesk.operators.ordering import in_blocks, number_chosen, totals_before
 from circdesk.sources.library import library_of
 from tests.conftest import NOW, day, rows
@@ -111,11 +113,72 @@ def one_by_one(requests, capacity):
     return refused
 
 
+def claim_rows(spark, requests, capacity):
+    return in_blocks(spark.createDataFrame(
+        [(r, r, kind, key, amount, capacity[(kind, key)]) for r, claims in requests.items() for (kind, key), amount in claims.items()],
+        "request_id bigint, seq bigint, loai string, khoa bigint, so_luong bigint, suc_chua bigint",
+    ))
+
+
+def test_a_chain_is_settled_at_once(spark, monkeypatch):
+    """Every request waits for the one before: passes alone would decide two at a time, in 100 steps."""
+    requests = {i: {("sach", i): 1, ("sach", i + 1): 1} for i in range(200)}
+    capacity = dict.fromkeys((k for c in requests.values() for k in c), 1)
+    claims, written = claim_rows(spark, requests, capacity), []
+    for module in (admission, components_module):
+        write = module.durable
+        monkeypatch.setattr(module, "durable", lambda df, write=write, **k: written.append(1) or write(df, **k))
+    found = {r.request_id for r in refused_requests(claims).collect()}
+    assert found == set(range(1, 200, 2)) == one_by_one(requests, capacity)
+    assert len(written) < 30
+
+
+@pytest.mark.parametrize("rows_per_task", [1_000_000, 3])
+def test_chains_longer_than_one_step(spark, many_blocks, rows_per_task):
+    """Chains of several lengths, tied into rings and combs, with more claims than are settled in one go."""
+    rng = random.Random(rows_per_task)
+    requests, capacity, at = {}, {}, 0
+    for case, length in enumerate((2, 9, 30, 41)):
+        for i in range(length):
+            claims = {("sach", case * 1000 + i): rng.randint(1, 2), ("sach", case * 1000 + (i + 1) % length): 1}
+            if i % 4 == 0:
+                claims[("the", case * 1000 + i // 8)] = 1
+            requests[at] = claims
+            at += 1
+        for key in {k for r in requests.values() for k in r} - set(capacity):
+            capacity[key] = rng.randint(1, 3)
+    requests[5000] = {k: 1 for k in list(capacity)[:30]}  # more claims than one step takes
+    claims = claim_rows(spark, requests, capacity)
+    found = {r.request_id for r in refused_requests(claims, rows_per_task, first_claims=25).collect()}
+    assert found == one_by_one(requests, capacity)
+
+
+@pytest.mark.parametrize("rows_per_task", [1_000_000, 3])
+def test_components_of_random_graphs(spark, rows_per_task):
+    rng = random.Random(4)
+    pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(170)] + [(7, 7), (400, 400)]
+    pairs += [(500 + i, 501 + i) for i in range(70)] + [(1000, 1001 + i) for i in range(50)]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    got = components(spark.createDataFrame(pairs, "a bigint, b bigint"), "a", "b", rows_per_task).collect()
+    tied = {x for a, b in pairs if a != b for x in (a, b)}
+    assert sorted((r.node, r.component) for r in got) == sorted((x, find(x)) for x in tied)
+    assert components(spark.createDataFrame([], "a bigint, b bigint"), "a", "b").collect() == []
+
+
 @pytest.mark.parametrize("rows_per_task", [1_000_000, 3])
 def test_admission_equals_one_by_one(spark, many_blocks, rows_per_task):
     """Many random cases in one batch, apart from each other by their keys; one key is very popular."""
     rng = random.Random(rows_per_task)
-    requests, capacity, data = {}, {}, []
+    requests, capacity = {}, {}
     for case in range(60):
         keys = [("sach", case * 100 + k) for k in range(rng.randint(1, 6))] + [("the", case)]
         for key in keys:
@@ -128,14 +191,7 @@ def test_admission_equals_one_by_one(spark, many_blocks, rows_per_task):
     capacity[popular] = 40
     for request in list(requests)[::3]:
         requests[request][popular] = 1
-    for request, claims in requests.items():
-        for (kind, key), amount in claims.items():
-            data.append((request, request, kind, key, amount, capacity[(kind, key)]))
-    claims = in_blocks(
-        spark.createDataFrame(
-            data, "request_id bigint, seq bigint, loai string, khoa bigint, so_luong bigint, suc_chua bigint"
-        )
-    )
+    claims = claim_rows(spark, requests, capacity)
     found = {r.request_id for r in refused_requests(claims, rows_per_task).collect()}
     assert found == one_by_one(requests, capacity)
 
