@@ -656,6 +656,16 @@ _BODY["q7_requests_for_one_line"] = (
 # Lines and slips of this batch never repeat, so the strict rule finds what the plain one does.
 _BODY["t5_check_single_extension_strict"] = _BODY["t5_check_single_extension"]
 
+# The functions called from SQL text give what the plain queries give.
+_BODY |= {
+    f"{name}_sql": _BODY[name]
+    for name in (
+        "f1_overdue_debt", "f1_overdue_debt_by_reader", "f2_stock_open4", "f3_fine_replacement", "f4_fine_additive",
+        "q1_fine_report", "q2_stock_report", "q3_reader_loan_report", "s1_books_by_author", "s2_books_by_category",
+        "s3_overdue_books_of_reader", "s4_reader_name_of_card",
+    )
+}
+
 _PARTS |= _round_by_round("line_claims", "line_refused")
 
 

@@ -11,6 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from circdesk.functions.sql import register_functions
+from circdesk.model import vocab as V
 from circdesk.model.tables import Tables
 from circdesk.operators import batches as B
 from circdesk.operators import cataloguing, checks, lending, measures, reports
@@ -38,6 +40,16 @@ def _lines_of(n: int) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: src.inserted_lines(spark, sf_dir, per_statement=n)
 
 
+def _in_sql(text: str) -> Query:
+    """A query given as SQL text that calls the library's functions."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        register_functions(spark, derived_library(spark, sf_dir), "tv_")
+        return spark.sql(text.format(luc=f"timestamp_ntz '{AS_OF}'"))
+
+    return run
+
+
 def _statuses_set(t: Tables) -> B.StatusSet:
     return B.bulk_status_set(t, src.returned_lines(t))
 
@@ -274,6 +286,42 @@ QUERIES: dict[str, Query] = {
     "s14_damage_ratio_by_quarter": _on_tables(lambda t: reports.damage_ratio(t, "quarter")),
     "s14_damage_ratio_by_year": _on_tables(lambda t: reports.damage_ratio(t, "year")),
     "s15_cards_expiring": _on_tables(lambda t: reports.cards_expiring(t, AS_OF)),
+    # -- the computations called from SQL text
+    "f1_overdue_debt_sql": _in_sql("SELECT ma_the, tv_the_no_qua_han(ma_the, {luc}) AS co_no_qua_han FROM tv_the_thu_vien"),
+    "f1_overdue_debt_by_reader_sql": _in_sql(
+        "SELECT ma_doc_gia, tv_doc_gia_no_qua_han(ma_doc_gia, {luc}) AS co_no_qua_han FROM tv_doc_gia"
+    ),
+    "f2_stock_open4_sql": _in_sql("SELECT ma_sach, tv_so_con_lai_bon_trang_thai(ma_sach) AS so_luong_con_lai FROM tv_sach"),
+    "f3_fine_replacement_sql": _in_sql(
+        "SELECT ma_phieu_muon, ma_sach, tv_tien_phat_thay_the(ma_phieu_muon, ma_sach, trang_thai_sach, {luc}) AS tien_phat "
+        "FROM tv_chi_tiet"
+    ),
+    "f4_fine_additive_sql": _in_sql(
+        "SELECT ma_phieu_muon, ma_sach, tv_tien_phat_cong_don(ma_phieu_muon, ma_sach, {luc}) AS tien_phat FROM tv_chi_tiet"
+    ),
+    "q1_fine_report_sql": _in_sql(
+        "SELECT ma_doc_gia, ho_ten AS ten_doc_gia, c.ma_phieu_muon, c.ma_sach, ten_sach, trang_thai_muon, trang_thai_sach, "
+        "tv_tien_phat_cong_don(c.ma_phieu_muon, c.ma_sach, {luc}) AS tien_phat "
+        "FROM tv_chi_tiet c JOIN tv_phieu_muon USING (ma_phieu_muon) JOIN tv_the_thu_vien USING (ma_the) "
+        "JOIN tv_doc_gia USING (ma_doc_gia) JOIN tv_sach s ON s.ma_sach = c.ma_sach "
+        f"WHERE trang_thai_muon IN {V.FINE_REPORT}"
+    ),
+    "q2_stock_report_sql": _in_sql(
+        "SELECT ma_sach, ten_sach, so_luong, tv_so_con_lai_hai_trang_thai(ma_sach) AS so_luong_con_lai FROM tv_sach"
+    ),
+    "q3_reader_loan_report_sql": _in_sql(
+        "SELECT ma_doc_gia, ho_ten, tv_so_sach_dang_giu(ma_doc_gia) AS so_sach_dang_muon FROM tv_doc_gia"
+    ),
+    "s1_books_by_author_sql": _in_sql(
+        "SELECT ma_tac_gia, f.ma_sach, f.ten_sach FROM tv_tac_gia t, LATERAL tv_sach_cua_tac_gia(t.ma_tac_gia) f"
+    ),
+    "s2_books_by_category_sql": _in_sql(
+        "SELECT ma_the_loai, f.ma_sach, f.ten_sach FROM tv_the_loai t, LATERAL tv_sach_cua_the_loai(t.ma_the_loai) f"
+    ),
+    "s3_overdue_books_of_reader_sql": _in_sql(
+        "SELECT ma_doc_gia, f.* FROM tv_doc_gia g, LATERAL tv_sach_qua_han_cua_doc_gia(g.ma_doc_gia, {luc}) f"
+    ),
+    "s4_reader_name_of_card_sql": _in_sql("SELECT ma_the, tv_ten_doc_gia_cua_the(ma_the) AS ho_ten FROM tv_the_thu_vien"),
 }
 
 FLAGSHIP = "q1_fine_report"
