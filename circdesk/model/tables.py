@@ -28,6 +28,16 @@ class Tables:
         if set(tables) != set(DDL):
             raise ValueError(f"tables wanted: {sorted(DDL)}, given: {sorted(tables)}")
         self._sources = tables
+        self._counts: dict[str, Callable[[], DataFrame]] = {}
+
+    def counted(self, **counts: Callable[[], DataFrame]) -> Tables:
+        """The same set with kept-up counts of loan lines: ``dem_sach`` and ``dem_the``, by status."""
+        self._counts = counts
+        return self
+
+    def count_of(self, name: str) -> DataFrame | None:
+        """The kept-up count (key, trang_thai_muon, so_dong), or None if the lines must be counted."""
+        return self._counts[name]() if name in self._counts else None
 
     def __getattr__(self, name: str) -> DataFrame:
         if name not in DDL:
@@ -38,8 +48,9 @@ class Tables:
         return table
 
     def having(self, **changed: DataFrame) -> Tables:
-        """The same set with some tables replaced by newer versions."""
-        return Tables(**{**self._sources, **changed})
+        """The same set with some tables replaced by newer versions; counts stay if their tables do."""
+        counts = {} if {"chi_tiet", "phieu_muon"} & set(changed) else self._counts
+        return Tables(**{**self._sources, **changed}).counted(**counts)
 
     @classmethod
     def names(cls) -> list[str]:

@@ -72,7 +72,10 @@ def overdue_debt(
 
 
 def lines_per_book(tables: Tables, statuses: Sequence[str], name: str) -> DataFrame:
-    """Loan lines in the given statuses, counted per book."""
+    """Loan lines in the given statuses, counted per book, or taken from the kept-up count."""
+    kept_up = tables.count_of("dem_sach")
+    if kept_up is not None:
+        return _added_up(kept_up, "ma_sach", statuses, name)
     return (
         tables.chi_tiet.where(F.col("trang_thai_muon").isin(*statuses))
         .groupBy("ma_sach")
@@ -80,6 +83,11 @@ def lines_per_book(tables: Tables, statuses: Sequence[str], name: str) -> DataFr
     )
 
 
+def _added_up(counts: DataFrame, key: str, statuses: Sequence[str], name: str) -> DataFrame:
+    wanted = counts.where(F.col("trang_thai_muon").isin(*statuses))
+    return wanted.groupBy(key).agg(F.sum("so_dong").alias(name)).where(F.col(name) > 0)
+
+
 def _stock(
     tables: Tables, statuses: Sequence[str], left: Column, keys: DataFrame | None, also: Sequence[str]
 ) -> DataFrame:
@@ -167,7 +175,13 @@ def fine_additive(tables: Tables, as_of: AsOf, keys: DataFrame | None = None) ->
 
 
 def lines_per_card(tables: Tables, statuses: Sequence[str], name: str) -> DataFrame:
-    """Books in the given statuses, counted per card: first per slip, then over its slips."""
+    """Books in the given statuses, counted per card: first per slip, then over its slips.
+
+    A kept-up count spares reading lines and slips.
+    """
+    kept_up = tables.count_of("dem_the")
+    if kept_up is not None:
+        return _added_up(kept_up, "ma_the", statuses, name)
     per_slip = (
         tables.chi_tiet.where(F.col("trang_thai_muon").isin(*statuses))
         .groupBy("ma_phieu_muon")

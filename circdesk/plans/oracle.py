@@ -656,6 +656,18 @@ _BODY["q7_requests_for_one_line"] = (
 # Lines and slips of this batch never repeat, so the strict rule finds what the plain one does.
 _BODY["t5_check_single_extension_strict"] = _BODY["t5_check_single_extension"]
 
+_BODY |= {
+    "p3_release_lines_after": _BODY["p3_lines_after"],
+    "p2_release_lines_compacted": _BODY["p2_lines_after"],
+    "t2_restock_of_release": _BODY["p3_restock"],
+    "f2_stock_of_release": f"SELECT s.ma_sach, coalesce(s.so_luong - coalesce(n, 0), 0) AS so_luong_con_lai FROM sach s "
+    f"LEFT JOIN (SELECT ma_sach, count(*) AS n FROM ({_BODY['p3_lines_after']}) x WHERE trang_thai_muon IN {OPEN} "
+    "GROUP BY 1) c ON c.ma_sach = s.ma_sach",
+    "f6_open_loans_of_release": "SELECT g.ma_doc_gia, coalesce(n, 0) AS so_sach_dang_muon FROM doc_gia g LEFT JOIN "
+    f"(SELECT ma_doc_gia, count(ma_sach) AS n FROM ({_BODY['p2_lines_after']}) x JOIN slip_reader USING (ma_phieu_muon) "
+    f"WHERE trang_thai_muon IN {HELD} GROUP BY 1) c ON c.ma_doc_gia = g.ma_doc_gia",
+}
+
 # The functions called from SQL text give what the plain queries give.
 _BODY |= {
     f"{name}_sql": _BODY[name]

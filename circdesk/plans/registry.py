@@ -6,6 +6,7 @@ the source tables inside its own plan, so the planner prunes what the query does
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,7 +19,10 @@ from circdesk.operators import batches as B
 from circdesk.operators import cataloguing, checks, lending, measures, reports
 from circdesk.operators.deltas import append_rows, apply_changes
 from circdesk.sources import batches as src
+from circdesk.operators.scratch import scratch_folder
 from circdesk.sources.derived import AS_OF, derived_library
+from circdesk.sources.versions import Changes, changes_between, compact, publish, read_release
+from circdesk.streaming.intake import extensions_step, returns_step
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -50,6 +54,39 @@ def _in_sql(text: str) -> Query:
     return run
 
 
+def _released(spark: SparkSession, sf_dir: str, step: Callable[[Tables], Changes]) -> str:
+    """A folder with the library as its first release, and the outcome of one step as its second."""
+    base = f"{scratch_folder(spark).rstrip('/')}/circdesk/library-{uuid.uuid4().hex}"
+    tables = derived_library(spark, sf_dir)
+    publish(spark, base, {n: getattr(tables, n) for n in Tables.names()})
+    publish(spark, base, step(read_release(spark, base)))
+    return base
+
+
+def _on_release(step: Callable[[Tables], Changes], build: Callable[[Tables], DataFrame]) -> Query:
+    return lambda spark, sf_dir: build(read_release(spark, _released(spark, sf_dir, step)))
+
+
+def _returns(t: Tables) -> Changes:
+    return returns_step(AS_OF)(t, src.return_requests(t))
+
+
+def _extensions(t: Tables) -> Changes:
+    return extensions_step()(t, src.extension_applications(t))
+
+
+def _restock_of_release(spark: SparkSession, sf_dir: str) -> DataFrame:
+    feed = changes_between(spark, _released(spark, sf_dir, _returns), "chi_tiet", 1)
+    # every line came back in a statement of its own; a slip has a book once
+    return checks.restock_on_return(feed.before, feed.after.withColumn("statement_id", F.col("ma_phieu_muon")))
+
+
+def _compacted_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = _released(spark, sf_dir, _extensions)
+    compact(spark, base)
+    return read_release(spark, base).chi_tiet
+
+
 def _statuses_set(t: Tables) -> B.StatusSet:
     return B.bulk_status_set(t, src.returned_lines(t))
 
@@ -286,6 +323,12 @@ QUERIES: dict[str, Query] = {
     "s14_damage_ratio_by_quarter": _on_tables(lambda t: reports.damage_ratio(t, "quarter")),
     "s14_damage_ratio_by_year": _on_tables(lambda t: reports.damage_ratio(t, "year")),
     "s15_cards_expiring": _on_tables(lambda t: reports.cards_expiring(t, AS_OF)),
+    # -- releases: new values over old files, changes between two of them, counts kept up
+    "p3_release_lines_after": _on_release(_returns, lambda t: t.chi_tiet),
+    "p2_release_lines_compacted": _compacted_lines,
+    "t2_restock_of_release": _restock_of_release,
+    "f2_stock_of_release": _on_release(_returns, measures.stock_open4),
+    "f6_open_loans_of_release": _on_release(_extensions, measures.reader_open_loans),
     # -- the computations called from SQL text
     "f1_overdue_debt_sql": _in_sql("SELECT ma_the, tv_the_no_qua_han(ma_the, {luc}) AS co_no_qua_han FROM tv_the_thu_vien"),
     "f1_overdue_debt_by_reader_sql": _in_sql(

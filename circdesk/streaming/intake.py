@@ -13,7 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import DataStreamWriter
 
 from circdesk.model.tables import Tables
-from circdesk.operators.batches import process_returns
+from circdesk.operators.batches import (
+    apply_extensions,
+    cancel_cards,
+    decide_extensions,
+    patch_accounts,
+    process_returns,
+)
 from circdesk.operators.deltas import add_to_stock
 from circdesk.operators.lending import create_loans
 from circdesk.operators.measures import AsOf
@@ -66,6 +72,54 @@ def returns_step(as_of: Clock, so_luong_is: str = "total", vocab: str = "canonic
     return step
 
 
+def extensions_step() -> Step:
+    """New due dates and statuses of lines whose approved extension is applied."""
+
+    def step(tables: Tables, requests: DataFrame) -> Changes:
+        done = apply_extensions(tables, requests)
+        lines = Update(done.line_changes, ["ngay_tra_du_kien", "trang_thai_muon"])
+        return Changes(updated={"chi_tiet": lines}, outcome=done.outcome)
+
+    return step
+
+
+def decisions_step() -> Step:
+    """Decided extension requests, and the due dates that approvals move."""
+
+    def step(tables: Tables, decisions: DataFrame) -> Changes:
+        done = decide_extensions(tables, decisions)
+        return Changes(updated={
+            "yeu_cau_gia_han": Update(done.request_changes, ["trang_thai"]),
+            "chi_tiet": Update(done.due_changes, ["ngay_tra_du_kien"]),
+        }, outcome=done.outcome)
+
+    return step
+
+
+def accounts_step() -> Step:
+    """Patched passwords and statuses of staff and readers."""
+
+    def step(tables: Tables, patches: DataFrame) -> Changes:
+        done, sets = patch_accounts(tables, patches), ["password", "trang_thai"]
+        return Changes(updated={
+            "nhan_vien": Update(done.staff_changes, sets), "doc_gia": Update(done.reader_changes, sets),
+        }, outcome=done.outcome)
+
+    return step
+
+
+def cancellations_step() -> Step:
+    """Cancelled cards and the readers that lose them."""
+
+    def step(tables: Tables, requests: DataFrame) -> Changes:
+        done = cancel_cards(tables, requests)
+        return Changes(updated={
+            "the_thu_vien": Update(done.card_changes, ["trang_thai"]), "doc_gia": Update(done.reader_changes, ["trang_thai"]),
+        }, outcome=done.outcome)
+
+    return step
+
+
 def _stock(tables: Tables, per_book: DataFrame) -> Update:
     books = tables.sach.join(per_book.select("ma_sach"), "ma_sach", "left_semi")
     return Update(durable(add_to_stock(books, per_book).select("ma_sach", "so_luong")), ["so_luong"])

@@ -1,13 +1,25 @@
 import pytest
 
+from pyspark.sql import functions as F
+
 from circdesk.model import vocab as V
+from circdesk.model.schema import columns
+from circdesk.model.tables import Tables
+from circdesk.operators import checks, measures
+from circdesk.operators.checks import restock_on_return
 from circdesk.operators.deltas import apply_changes
 from circdesk.operators.scratch import scratch_folder
 from circdesk.sources.library import library_of, rows_of
 from circdesk.sources.versions import (
+    COMPACTED,
+    REPLACED,
+    ROWS,
+    VALUES,
     AlreadyPublished,
     Changes,
     Update,
+    changes_between,
+    compact,
     current_release,
     is_published,
     publish,
@@ -16,8 +28,18 @@ from circdesk.sources.versions import (
     remove_unused,
     unused_places,
 )
-from circdesk.streaming.intake import intake, loans_step, returns_step, run_step
+from circdesk.streaming.intake import (
+    accounts_step,
+    cancellations_step,
+    decisions_step,
+    extensions_step,
+    intake,
+    loans_step,
+    returns_step,
+    run_step,
+)
 from tests.conftest import NOW, day, rows
+from tests.test_plans import plan_of
 
 LOAN = "request_id bigint, seq bigint, ma_the bigint, ma_nhan_vien bigint, danh_sach_sach string, so_ngay_muon int"
 
@@ -129,22 +151,178 @@ def test_every_batch_has_its_own_moment(spark, tmp_path):
     ]
 
 
-def test_appends_and_updates_leave_other_files_alone(spark, tmp_path):
+LINES = [{"ma_phieu_muon": i, "ma_sach": i % 7, "trang_thai_muon": V.DANG_MUON} for i in range(300)]
+STATUS = "ma_phieu_muon bigint, ma_sach bigint, trang_thai_muon string"
+
+
+def lines_library(spark):
+    slips = [{"ma_phieu_muon": i, "ma_the": i % 11} for i in range(1000)]
+    return small_library(spark).having(chi_tiet=rows_of(spark, "chi_tiet", LINES), phieu_muon=rows_of(spark, "phieu_muon", slips))
+
+
+def status_change(spark, *changes):
+    return Changes(updated={"chi_tiet": Update(spark.createDataFrame(list(changes), STATUS), ["trang_thai_muon"])})
+
+
+def files_read(df):
+    """Number of files the scans of a finished query opened."""
+    df.collect()
+    plan, found = df._jdf.queryExecution().executedPlan(), 0
+    todo = [plan]
+    while todo:
+        node = todo.pop()
+        if node.nodeName().startswith("Scan"):
+            metric = node.metrics().get("numFiles")
+            found += metric.get().value() if metric.isDefined() else 0
+        inner = [node.plan()] if node.nodeName().endswith("QueryStage") else []
+        inner += [node.executedPlan()] if node.nodeName() == "AdaptiveSparkPlan" else []
+        todo += inner + [node.children().apply(i) for i in range(node.children().size())]
+    return found
+
+
+def test_appends_and_updates_rewrite_no_file(spark, tmp_path):
     base = str(tmp_path / "lib")
-    lines = [{"ma_phieu_muon": i, "ma_sach": i % 7, "trang_thai_muon": V.DANG_MUON} for i in range(300)]
-    publish(spark, base, everything(small_library(spark).having(chi_tiet=rows_of(spark, "chi_tiet", lines))))
+    publish(spark, base, everything(lines_library(spark)))
     first = current_release(spark, base)
+    files = {p: p.stat().st_mtime_ns for p in (tmp_path / "lib").rglob("*.parquet")}
     publish(spark, base, Changes({"chi_tiet": rows_of(spark, "chi_tiet", [{"ma_phieu_muon": 900, "ma_sach": 1}])}))
-    second = current_release(spark, base)
-    assert second.parts["chi_tiet"][0] == first.parts["chi_tiet"][0] and len(second.parts["chi_tiet"]) == 2
-    change = spark.createDataFrame([(5, 5, V.DA_TRA)], "ma_phieu_muon bigint, ma_sach bigint, trang_thai_muon string")
-    publish(spark, base, Changes(updated={"chi_tiet": Update(change, ["trang_thai_muon"])}))
+    publish(spark, base, status_change(spark, (5, 5, V.DA_TRA)))
     third = current_release(spark, base)
-    assert [p.place for p in third.parts["chi_tiet"][:2]] == [p.place for p in second.parts["chi_tiet"]]
-    assert len(third.parts["chi_tiet"][0].hidden) == 1
-    assert spark.read.parquet(third.parts["chi_tiet"][2].place).select("_nhom").distinct().count() == 1
+    assert third.parts["chi_tiet"][0] == first.parts["chi_tiet"][0]
+    kinds = [(p.kind, p.rows, len(p.buckets), p.hidden) for p in third.parts["chi_tiet"]]
+    assert kinds == [(REPLACED, 300, 64, ()), (ROWS, 1, 1, ()), (VALUES, 1, 1, ())]
+    assert {p: p.stat().st_mtime_ns for p in files} == files  # as they were
+    new = [p for p in (tmp_path / "lib" / "chi_tiet").rglob("*.parquet") if p not in files]
+    assert len(new) == 2  # one with the new row, one with the new value
     now = rows(read_release(spark, base).chi_tiet, "ma_phieu_muon", "trang_thai_muon")
-    assert now == sorted([(i, V.DA_TRA if i == 5 else V.DANG_MUON) for i in range(300)] + [(900, None)])
+    assert now == sorted([(i, V.DA_TRA if i == 5 else V.DANG_MUON) for i in range(300)] + [(900, None)],
+                         key=lambda r: r[0])
+    assert rows(read_release(spark, base, 2).chi_tiet, "trang_thai_muon")[-1] == (V.DANG_MUON,)
+
+
+def test_the_last_value_of_a_column_counts(spark, tmp_path):
+    base = str(tmp_path / "lib")
+    publish(spark, base, everything(small_library(spark)))
+
+    def set_(columns, *values):
+        change = spark.createDataFrame(list(values), f"ma_sach bigint, {columns}")
+        publish(spark, base, Changes(updated={"sach": Update(change, change.columns[1:])}))
+
+    set_("so_luong int", (1, 7), (2, 8), (99, 1))
+    set_("ten_sach string, so_luong int", (1, None, 9))
+    set_("ten_sach string", (2, "C"))
+    set_("so_luong int", (1, None))
+    want = [(1, None, None), (2, "C", 8)]
+    assert rows(read_release(spark, base).sach, "ma_sach", "ten_sach", "so_luong") == want
+    before = current_release(spark, base)
+    assert compact(spark, base, share=10) == before.number  # too few values for that
+    assert compact(spark, base) == before.number + 1
+    after = current_release(spark, base)
+    assert rows(read_release(spark, base).sach, "ma_sach", "ten_sach", "so_luong") == want
+    assert [p.kind for p in after.parts["sach"]] == [COMPACTED] and compact(spark, base) == after.number
+    set_("so_luong int", (2, 1))
+    assert rows(read_release(spark, base).sach, "ma_sach", "ten_sach", "so_luong") == [(1, None, None), (2, "C", 1)]
+
+
+def test_compaction_leaves_untouched_buckets_alone(spark, tmp_path):
+    base = str(tmp_path / "lib")
+    publish(spark, base, everything(lines_library(spark)))
+    publish(spark, base, status_change(spark, (5, 5, V.DA_TRA), (6, 6, V.DA_TRA)))
+    plain = rows(read_release(spark, base).chi_tiet, *columns("chi_tiet"))
+    compact(spark, base)
+    parts = current_release(spark, base).parts["chi_tiet"]
+    assert [p.kind for p in parts] == [REPLACED, COMPACTED] and 1 <= len(parts[0].hidden) <= 2
+    assert sorted(parts[0].hidden) == sorted(parts[1].buckets)
+    assert rows(read_release(spark, base).chi_tiet, *columns("chi_tiet")) == plain
+
+
+def test_a_feed_opens_only_touched_buckets(spark, tmp_path):
+    base = str(tmp_path / "lib")
+    publish(spark, base, everything(lines_library(spark)))
+    change = spark.createDataFrame(
+        [(5, 5, V.DA_TRA, V.TOT), (9, 2, V.HOAN_THANH, V.HONG)], STATUS + ", trang_thai_sach string")
+    publish(spark, base, Changes(
+        {"chi_tiet": rows_of(spark, "chi_tiet", [{"ma_phieu_muon": 901, "ma_sach": 3, "trang_thai_muon": V.DANG_MUON}])},
+        {"chi_tiet": Update(change, ["trang_thai_muon", "trang_thai_sach"])}))
+    compact(spark, base)  # not a change of its own
+    publish(spark, base, status_change(spark, (5, 5, V.HOAN_THANH)))
+    feed = changes_between(spark, base, "chi_tiet", 1)
+    key = ["ma_phieu_muon", "ma_sach", "trang_thai_muon"]
+    assert rows(feed.before, *key) == [(5, 5, V.DANG_MUON), (9, 2, V.DANG_MUON)]
+    assert rows(feed.after, *key) == [(5, 5, V.HOAN_THANH), (9, 2, V.HOAN_THANH), (901, 3, V.DANG_MUON)]
+    assert rows(restock_on_return(feed.before, feed.after), "ma_sach", "them") == [(5, 1)]
+    assert rows(changes_between(spark, base, "chi_tiet", 1, 2).after, *key)[0] == (5, 5, V.DA_TRA)
+    assert changes_between(spark, base, "chi_tiet", 2, 3).after.isEmpty()
+    assert changes_between(spark, base, "sach", 1).before.isEmpty()
+    whole = files_read(read_release(spark, base, 1).chi_tiet)
+    assert whole >= 64 and files_read(feed.before) <= 3 + 4  # a file per bucket, and those that name the keys
+
+
+def test_a_feed_over_a_replaced_table_compares_rows(spark, tmp_path):
+    base = str(tmp_path / "lib")
+    tables = small_library(spark)
+    publish(spark, base, everything(tables))
+    publish(spark, base, {"sach": apply_changes(
+        tables.sach, spark.createDataFrame([(1, 5)], "ma_sach bigint, so_luong int"), ["ma_sach"], ["so_luong"])})
+    feed = changes_between(spark, base, "sach", 1)
+    assert rows(feed.before, "ma_sach", "so_luong") == [(1, 2)] and rows(feed.after, "ma_sach", "so_luong") == [(1, 5)]
+
+
+def counts_of(tables):
+    return (rows(tables.count_of("dem_sach"), "ma_sach", "trang_thai_muon", "so_dong"),
+            rows(tables.count_of("dem_the"), "ma_the", "trang_thai_muon", "so_dong"))
+
+
+def recounted(tables):
+    lines = tables.chi_tiet
+    on_card = lines.join(tables.phieu_muon, "ma_phieu_muon")
+    return (rows(lines.groupBy("ma_sach", "trang_thai_muon").count(), "ma_sach", "trang_thai_muon", "count"),
+            rows(on_card.groupBy("ma_the", "trang_thai_muon").count(), "ma_the", "trang_thai_muon", "count"))
+
+
+def test_counts_are_kept_up(spark, tmp_path):
+    base = str(tmp_path / "lib")
+    publish(spark, base, everything(lines_library(spark)))
+    known = spark.createDataFrame([(7, 0, V.TRA_TRE, V.DANG_MUON)], STATUS + ", trang_thai_cu string")
+    steps = [
+        Changes({"chi_tiet": rows_of(spark, "chi_tiet", [{"ma_phieu_muon": 902, "ma_sach": 3, "trang_thai_muon": V.TRE_HAN}])}),
+        status_change(spark, (5, 5, V.DA_TRA), (6, 6, None), (777, 1, V.DA_TRA)),
+        Changes(updated={"chi_tiet": Update(known, ["trang_thai_muon"])}),
+        Changes({"phieu_muon": rows_of(spark, "phieu_muon", [{"ma_phieu_muon": 2000, "ma_the": 3}]),
+                 "chi_tiet": rows_of(spark, "chi_tiet", [{"ma_phieu_muon": 2000, "ma_sach": 1, "trang_thai_muon": V.DANG_MUON}])}),
+        Changes(updated={"sach": Update(spark.createDataFrame([(1, 3)], "ma_sach bigint, so_luong int"), ["so_luong"])}),
+    ]
+    for step in steps:
+        publish(spark, base, step)
+        now = read_release(spark, base)
+        assert counts_of(now) == recounted(now)
+    compact(spark, base)
+    now = read_release(spark, base)
+    assert counts_of(now) == recounted(now) and len(current_release(spark, base).parts["dem_the"]) == 1
+    publish(spark, base, {"chi_tiet": rows_of(spark, "chi_tiet", LINES[:10])})
+    now = read_release(spark, base)
+    assert counts_of(now) == recounted(now)
+
+
+def test_measures_take_the_kept_up_counts(spark, tmp_path):
+    base = str(tmp_path / "lib")
+    publish(spark, base, everything(lines_library(spark)))
+    publish(spark, base, status_change(spark, (5, 5, V.DA_TRA), (6, 6, V.TRE_HAN)))
+    now = read_release(spark, base)
+    plain = Tables(**everything(now))
+    for measure, key, value in (
+        (measures.stock_open4, "ma_sach", "so_luong_con_lai"), (measures.stock_open2, "ma_sach", "so_luong_con_lai"),
+        (measures.reader_open_loans, "ma_doc_gia", "so_sach_dang_muon"),
+    ):
+        assert rows(measure(now), key, value) == rows(measure(plain), key, value)
+        plan = plan_of(measure(now))
+        assert "/chi_tiet/" not in plan and "/dem_" in plan and "/chi_tiet/" in plan_of(measure(plain))
+    new = rows_of(spark, "chi_tiet", [{"ma_phieu_muon": 3, "ma_sach": 2}]).withColumn("statement_id", F.lit(1).cast("bigint"))
+    found = checks.check_new_lines(now, new).violations
+    assert rows(found, "ly_do", "khoa") == rows(checks.check_new_lines(plain, new).violations, "ly_do", "khoa")
+    assert "/chi_tiet/" not in plan_of(found)
+    assert now.having(chi_tiet=now.chi_tiet).count_of("dem_sach") is None
+    assert now.having(sach=now.sach).count_of("dem_sach") is not None
 
 
 def test_a_second_writer_fails(spark, tmp_path):
@@ -163,3 +341,43 @@ def test_a_second_writer_fails(spark, tmp_path):
 
 def test_scratch_folder_is_the_one_the_session_names(spark):
     assert scratch_folder(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
+def test_steps_for_extensions_accounts_and_cards(spark, tmp_path):
+    """Each step over a release gives what the batch over the same tables gives."""
+    base = str(tmp_path / "lib")
+    due = day("2001-08-10")
+    people = {"trang_thai": V.HOAT_DONG, "password": "x"}
+    publish(spark, base, everything(library_of(
+        spark,
+        sach=[{"ma_sach": k, "ten_sach": f"T{k}", "so_luong": 3} for k in (1, 2)],
+        nhan_vien=[{"ma_nhan_vien": 1, "username": "a", **people}],
+        doc_gia=[{"ma_doc_gia": k, "username": f"r{k}", **people} for k in (1, 2)],
+        the_thu_vien=[{"ma_the": k, "ma_doc_gia": k, "trang_thai": V.HOAT_DONG} for k in (1, 2)],
+        phieu_muon=[{"ma_phieu_muon": 5, "ma_the": 1}],
+        chi_tiet=[{"ma_phieu_muon": 5, "ma_sach": k, "trang_thai_muon": V.DANG_MUON, "ngay_tra_du_kien": due} for k in (1, 2)],
+        yeu_cau_gia_han=[
+            {"ma_yeu_cau": k, "ma_phieu_muon": 5, "ma_sach": k, "ngay_tao": day("2001-07-20"), "ngay_gia_han": day("2001-08-24"),
+             "trang_thai": V.DA_DUYET if k == 1 else V.CHO} for k in (1, 2)],
+    )))
+    asked = "request_id bigint, seq bigint, "
+    run_step(spark, base, extensions_step(), spark.createDataFrame([(1, 1, 1), (2, 2, 1)], asked + "ma_yeu_cau bigint"))
+    line = ["ma_sach", "trang_thai_muon", "ngay_tra_du_kien"]
+    assert rows(read_release(spark, base).chi_tiet, *line) == [(1, V.DA_GIA_HAN, day("2001-08-24")), (2, V.DANG_MUON, due)]
+    assert rows(read_outcome(spark, base), "request_id", "thanh_cong") == [(1, True), (2, False)]
+    run_step(spark, base, decisions_step(), spark.createDataFrame(
+        [(1, 1, 2, True), (2, 2, 1, False)], asked + "ma_yeu_cau bigint, chap_nhan boolean"))
+    now = read_release(spark, base)
+    assert rows(now.yeu_cau_gia_han, "ma_yeu_cau", "trang_thai") == [(1, V.TU_CHOI), (2, V.DA_DUYET)]
+    assert rows(now.chi_tiet, *line)[1] == (2, V.DANG_MUON, day("2001-08-24"))
+    run_step(spark, base, accounts_step(), spark.createDataFrame(
+        [(1, 1, "a", "new", None), (2, 2, "r2", None, V.VO_HIEU)],
+        asked + "username string, password_moi string, trang_thai_moi string"))
+    now = read_release(spark, base)
+    assert rows(now.nhan_vien, "password", "trang_thai") == [("new", V.HOAT_DONG)]
+    assert rows(now.doc_gia, "username", "password", "trang_thai") == [("r1", "x", V.HOAT_DONG), ("r2", "x", V.VO_HIEU)]
+    run_step(spark, base, cancellations_step(), spark.createDataFrame([(1, 1, 1), (2, 2, 2)], asked + "ma_doc_gia bigint"))
+    now = read_release(spark, base)
+    assert rows(now.the_thu_vien, "ma_the", "trang_thai") == [(1, V.HOAT_DONG), (2, V.BI_HUY)]
+    assert rows(read_outcome(spark, base), "request_id", "thanh_cong") == [(1, False), (2, True)]
+    assert counts_of(now) == recounted(now)
