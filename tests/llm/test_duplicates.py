@@ -212,6 +212,24 @@ def test_components_of_chains_and_stars(spark):
     assert got == dict.fromkeys(range(51), 0) | {i: 100 for i in range(100, 130)} | {200: 200, 201: 200}
 
 
+def test_families_around_one_core_are_all_found(spark):
+    """450 texts share 110 words, so that their buckets are large; only the three of a family are similar."""
+    core = passage(300, 110)
+    rows = [(3 * f + i, f"{core} {passage(400 + f, 60)} {'x' * i} end") for f in range(150) for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: (r.class_id, r.n_links) for r in similar_documents(docs).collect()}
+    assert got == {i: (i - i % 3, 2) for i, _ in rows}
+
+
+def test_a_class_over_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "_BLOCK_SETS", 7)
+    base = passage(77, 200).split()
+    rows = [(i, " ".join([*base[:i % 190], f"w{i}", *base[i % 190 + 1:]])) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: (r.class_id, r.n_links) for r in similar_documents(docs, bucket=10).collect()}
+    assert got == dict.fromkeys(range(60), (0, 59))
+
+
 def test_no_document_is_lost(spark):
     docs = table(spark, SMALL, "documents")
     n = docs.count()
