@@ -213,7 +213,8 @@ def read_documents(shards: DataFrame, with_ids: bool = False) -> DataFrame:
                         out.append(pa.array([t.tolist() for t in texts], pa.list_(pa.int32())))
                     yield pa.RecordBatch.from_arrays(out, names=[c.split()[0] for c in schema.split(", ")])
 
-    return shards.select("path", "start").repartition("path").mapInArrow(run, schema)
+    # A number of its own keeps the few short rows from being put into one task.
+    return shards.select("path", "start").repartition(max(1, shards.count()), "path").mapInArrow(run, schema)
 
 
 def look_up(shards: DataFrame, keys: DataFrame) -> DataFrame:
