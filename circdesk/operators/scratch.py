@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
 _own: dict[str, str] = {}  # folders of local sessions that name none
+_noted: ContextVar[list[str] | None] = ContextVar("noted", default=None)
 
 
 def scratch_folder(spark: SparkSession) -> str:
@@ -24,6 +28,25 @@ def scratch_folder(spark: SparkSession) -> str:
     return _own[session]
 
 
+@contextmanager
+def noting() -> Iterator[list[str]]:
+    """The folders that ``durable`` writes inside the block, for ``remove`` once nothing reads them any more."""
+    places: list[str] = []
+    token = _noted.set(places)
+    try:
+        yield places
+    finally:
+        _noted.reset(token)
+
+
+def remove(spark: SparkSession, places: Iterable[str]) -> None:
+    """Delete folders that ``durable`` wrote."""
+    jvm = spark.sparkContext._jvm
+    for place in places:
+        path = jvm.org.apache.hadoop.fs.Path(place)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def durable(df: DataFrame, **counts: Column) -> DataFrame | tuple[DataFrame, dict[str, int]]:
     """Write ``df`` once and go on from the files.
 
@@ -33,6 +56,9 @@ def durable(df: DataFrame, **counts: Column) -> DataFrame | tuple[DataFrame, dic
     """
     spark = df.sparkSession
     path = f"{scratch_folder(spark).rstrip('/')}/circdesk/{uuid.uuid4().hex}"
+    noted = _noted.get()
+    if noted is not None:
+        noted.append(path)
     if not counts:
         df.write.parquet(path)
         return spark.read.schema(df.schema).parquet(path)
