@@ -81,17 +81,20 @@ def token_pieces(
         encode = encoder(tokenizer)
         for batch in cut_batches(batches, ROWS):
             ids, at = encode.ids(batch.column("cut"), end)
-            out: list[list] = [[] for _ in names]
+            out: list[list] = [[] for _ in range(5)]
             for i, doc in enumerate(batch.column("doc_id").to_pylist()):
                 own = ids[at[i]: at[i + 1]]
                 stops = [*range((len(own) - 1) % capacity + 1, len(own) + 1, capacity)]
                 for n, stop in enumerate(stops):
                     start = stops[n - 1] if n else 0
-                    row = (doc, n, start, stop - start, crc(own[start:stop]), own[start:stop].tolist() if with_ids else None)
-                    for column, value in zip(out, row):
+                    for column, value in zip(out, (doc, n, start, stop - start, crc(own[start:stop]))):
                         column.append(value)
-            types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=names)
+            types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+            columns = [pa.array(c, t) for c, t in zip(out, types)]
+            if with_ids:  # the pieces of a batch are its ids one after another
+                stops = np.cumsum([0, *out[3]]).astype(np.int32)
+                columns.append(pa.ListArray.from_arrays(stops, ids.astype(np.int32)))
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), cut(F.col("text"), tokenizer).alias("cut"))
     return rows.mapInArrow(run, schema)
