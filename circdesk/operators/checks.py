@@ -202,7 +202,7 @@ def check_single_extension(
 _UNIQUE = ("cccd", "so_dien_thoai")
 
 
-def _identifiers(people: DataFrame, keep: Sequence[str]) -> DataFrame:
+def identifiers(people: DataFrame, keep: Sequence[str]) -> DataFrame:
     """One row per non-null identity number or phone of a person: (cot, gia_tri)."""
     pairs = [F.struct(F.lit(c).alias("cot"), F.col(c).alias("gia_tri")) for c in _UNIQUE]
     return (
@@ -221,8 +221,8 @@ def _check_unique(
     """
     rows = with_statement(rows)
     pair = ["cot", "gia_tri"]
-    asked = _identifiers(rows, ["statement_id", key])
-    stored = _identifiers(existing, [key])
+    asked = identifiers(rows, ["statement_id", key])
+    stored = identifiers(existing, [key])
     if own_key:
         owners = stored.groupBy(*pair, F.expr(f"pmod(xxhash64(`{key}`), 16)").alias("_part")).agg(
             F.min(key).alias("_low"), F.max(key).alias("_high")

@@ -668,6 +668,20 @@ _BODY |= {
     f"WHERE trang_thai_muon IN {HELD} GROUP BY 1) c ON c.ma_doc_gia = g.ma_doc_gia",
 }
 
+_NEW_READERS = _shifted("doc_gia", "ma_doc_gia", "ma_doc_gia + 1000000000", "ma_doc_gia * 2 + 2000000000",
+                        "ma_doc_gia * 3 + 9000000000")
+_BODY |= {
+    "q1_fine_report_bucketed": _BODY["q1_fine_report"],
+    "q6_open_loans_per_card_bucketed": _BODY["q6_open_loans_per_card"],
+    "s7_lock_overdue_cards_in_two_runs": _BODY["s7_lock_overdue_cards"],
+    # Lines, identity numbers and phones of these batches never repeat, so only stored rows are in the way.
+    "t5_admit_extensions": "SELECT * FROM inserted_extensions WHERE statement_id NOT IN "
+    "(SELECT ma_phieu_muon FROM yeu_cau_gia_han)",
+    "t6_admit_readers": "SELECT i.statement_id, i.ma_doc_gia, d.ho_ten, i.cccd, i.so_dien_thoai FROM "
+    f"({_NEW_READERS}) i JOIN doc_gia d ON d.ma_doc_gia = i.statement_id WHERE i.statement_id NOT IN "
+    f"(SELECT statement_id FROM ({_BODY['t6_check_unique_reader']}) v)",
+}
+
 # The functions called from SQL text give what the plain queries give.
 _BODY |= {
     f"{name}_sql": _BODY[name]

@@ -16,16 +16,19 @@ from circdesk.functions.sql import register_functions
 from circdesk.model import vocab as V
 from circdesk.model.tables import Tables
 from circdesk.operators import batches as B
-from circdesk.operators import cataloguing, checks, lending, measures, reports
+from circdesk.operators import cataloguing, checks, in_order, lending, measures, reports
 from circdesk.operators.deltas import append_rows, apply_changes
 from circdesk.sources import batches as src
 from circdesk.operators.scratch import scratch_folder
+from circdesk.sources.calendar import Calendar, cards_to_lock
 from circdesk.sources.derived import AS_OF, derived_library
+from circdesk.sources.stored import read_bucketed, write_bucketed
 from circdesk.sources.versions import Changes, changes_between, compact, publish, read_release
 from circdesk.streaming.intake import extensions_step, returns_step
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+EARLIER = "2001-07-01 00:00:00"  # a moment before AS_OF
 CLOSED_COLUMNS = ["ngay_tra_thuc_te", "trang_thai_muon", "trang_thai_sach"]
 
 
@@ -87,6 +90,29 @@ def _compacted_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_release(spark, base).chi_tiet
 
 
+def _bucketed(build: Callable[[Tables], DataFrame]) -> Query:
+    """Over the library written in buckets of the slip id."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        name = f"kho_{uuid.uuid4().hex}"
+        folder = f"{scratch_folder(spark).rstrip('/')}/circdesk/{name}"
+        buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        write_bucketed(derived_library(spark, sf_dir), folder, buckets)
+        return build(read_bucketed(spark, folder, name, buckets))
+
+    return run
+
+
+def _locked_in_two_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cards locked up to a moment, and then those that the days since then put into debt."""
+    tables = derived_library(spark, sf_dir)
+    calendar = Calendar(spark, f"{scratch_folder(spark).rstrip('/')}/circdesk/days-{uuid.uuid4().hex}")
+    calendar.add(tables)
+    cards = cards_to_lock(calendar, None, EARLIER).unionByName(cards_to_lock(calendar, EARLIER, AS_OF)).distinct()
+    return apply_changes(
+        tables.the_thu_vien, cards.withColumn("trang_thai", F.lit(V.BI_KHOA)), ["ma_the"], ["trang_thai"])
+
+
 def _statuses_set(t: Tables) -> B.StatusSet:
     return B.bulk_status_set(t, src.returned_lines(t))
 
@@ -329,6 +355,12 @@ QUERIES: dict[str, Query] = {
     "t2_restock_of_release": _restock_of_release,
     "f2_stock_of_release": _on_release(_returns, measures.stock_open4),
     "f6_open_loans_of_release": _on_release(_extensions, measures.reader_open_loans),
+    # -- stored layouts, days since the last run, and checks in statement order
+    "q1_fine_report_bucketed": _bucketed(lambda t: reports.fine_report(t, AS_OF)),
+    "q6_open_loans_per_card_bucketed": _bucketed(reports.open_loans_per_card),
+    "s7_lock_overdue_cards_in_two_runs": _locked_in_two_runs,
+    "t5_admit_extensions": _on_tables(lambda t: in_order.admit_extensions(t, src.inserted_extensions(t))),
+    "t6_admit_readers": _on_tables(lambda t: in_order.admit_readers(t, src.inserted_readers(t))),
     # -- the computations called from SQL text
     "f1_overdue_debt_sql": _in_sql("SELECT ma_the, tv_the_no_qua_han(ma_the, {luc}) AS co_no_qua_han FROM tv_the_thu_vien"),
     "f1_overdue_debt_by_reader_sql": _in_sql(

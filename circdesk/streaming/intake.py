@@ -1,8 +1,9 @@
 """Circulation requests arriving as a stream.
 
 Each micro-batch is handled by the ordinary batch job against the newest release, and its table
-changes and outcomes become the next release. All state lives in the tables, so there is no watermark
-and no state store.
+changes and outcomes become the next release. All state lives in the tables and in the counts kept
+with them, so there is no watermark and no state store: a batch that comes late or is cut otherwise
+meets what was accepted before it, as a single batch in that order would.
 """
 
 from __future__ import annotations
@@ -10,9 +11,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from circdesk.model.tables import Tables
+from circdesk.model.vocab import CARD_LIMIT
 from circdesk.operators.batches import (
     apply_extensions,
     cancel_cards,
@@ -20,9 +23,12 @@ from circdesk.operators.batches import (
     patch_accounts,
     process_returns,
 )
+from circdesk.operators.checks import check_card, with_statement
 from circdesk.operators.deltas import add_to_stock
-from circdesk.operators.lending import create_loans
+from circdesk.operators.in_order import admit_extensions, admit_readers
+from circdesk.operators.lending import admit_statements, create_loans
 from circdesk.operators.measures import AsOf
+from circdesk.operators.ordering import highest_id, in_blocks, number_chosen
 from circdesk.operators.scratch import durable
 from circdesk.sources.versions import (
     Changes,
@@ -120,6 +126,64 @@ def cancellations_step() -> Step:
     return step
 
 
+def new_lines_step(limit: int = CARD_LIMIT) -> Step:
+    """New loan lines by statement: stock and card room are used up in order, and the shelf stock goes down.
+
+    What a card holds comes from the counts kept with the release, so no stored line is read.
+    """
+
+    def step(tables: Tables, rows: DataFrame) -> Changes:
+        rows = durable(with_statement(rows))
+        accepted = durable(admit_statements(tables, rows, limit))
+        taken = accepted.groupBy("ma_sach").agg((-F.count("ma_sach")).alias("them"))
+        return Changes({"chi_tiet": accepted}, {"sach": _stock(tables, taken)}, outcome=_verdicts(rows, accepted))
+
+    return step
+
+
+def new_slips_step(as_of: Clock) -> Step:
+    """New slips by statement, on cards that are valid at the moment of the batch."""
+
+    def step(tables: Tables, rows: DataFrame) -> Changes:
+        rows = durable(with_statement(rows))
+        accepted = durable(check_card(tables, rows, _now(as_of)).accepted)
+        return Changes({"phieu_muon": accepted}, outcome=_verdicts(rows, accepted))
+
+    return step
+
+
+def new_requests_step() -> Step:
+    """New extension requests by statement, one for a line; new ones are numbered after the stored ones."""
+
+    def step(tables: Tables, rows: DataFrame) -> Changes:
+        rows = durable(with_statement(rows))
+        accepted = in_blocks(admit_extensions(tables, rows), ("statement_id", "ma_phieu_muon", "ma_sach"))
+        numbered = number_chosen(
+            accepted, F.lit(True), highest_id(tables.yeu_cau_gia_han, "ma_yeu_cau"), "ma_yeu_cau",
+            ("statement_id", "ma_phieu_muon", "ma_sach"))
+        return Changes({"yeu_cau_gia_han": durable(numbered)}, outcome=_verdicts(rows, accepted))
+
+    return step
+
+
+def new_readers_step() -> Step:
+    """New readers by statement, whose identity number and phone nobody has."""
+
+    def step(tables: Tables, rows: DataFrame) -> Changes:
+        rows = durable(with_statement(rows))
+        accepted = durable(admit_readers(tables, rows))
+        return Changes({"doc_gia": accepted}, outcome=_verdicts(rows, accepted))
+
+    return step
+
+
+def _verdicts(rows: DataFrame, accepted: DataFrame) -> DataFrame:
+    """statement_id and whether it was accepted."""
+    both = rows.select("statement_id", F.lit(False).alias("_ok")).unionByName(
+        accepted.select("statement_id", F.lit(True).alias("_ok")))
+    return both.groupBy("statement_id").agg(F.max("_ok").alias("thanh_cong"))
+
+
 def _stock(tables: Tables, per_book: DataFrame) -> Update:
     books = tables.sach.join(per_book.select("ma_sach"), "ma_sach", "left_semi")
     return Update(durable(add_to_stock(books, per_book).select("ma_sach", "so_luong")), ["so_luong"])
