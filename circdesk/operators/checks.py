@@ -199,12 +199,12 @@ def check_single_extension(
     return _checked(rows, offending.withColumn("thong_bao", F.lit(M.ONE_EXTENSION)))
 
 
-_UNIQUE = ("cccd", "so_dien_thoai")
+UNIQUE = ("cccd", "so_dien_thoai")
 
 
 def identifiers(people: DataFrame, keep: Sequence[str]) -> DataFrame:
     """One row per non-null identity number or phone of a person: (cot, gia_tri)."""
-    pairs = [F.struct(F.lit(c).alias("cot"), F.col(c).alias("gia_tri")) for c in _UNIQUE]
+    pairs = [F.struct(F.lit(c).alias("cot"), F.col(c).alias("gia_tri")) for c in UNIQUE]
     return (
         people.select(*keep, F.explode(F.array(*pairs)).alias("_id"))
         .select(*keep, "_id.cot", "_id.gia_tri")
@@ -212,12 +212,13 @@ def identifiers(people: DataFrame, keep: Sequence[str]) -> DataFrame:
     )
 
 
-def _check_unique(
-    existing: DataFrame, key: str, rows: DataFrame, strict: bool, own_key: bool
+def check_unique(
+    existing: DataFrame, key: str, rows: DataFrame, strict: bool = False, own_key: bool = False
 ) -> Checked:
     """Both identity columns in one equi join on (column, value) instead of a join with an OR.
 
-    For updates, an owner other than the row itself is looked for.
+    For updates (``own_key``), an owner other than the row itself is looked for. ``existing`` needs the
+    key and the two columns only.
     """
     rows = with_statement(rows)
     pair = ["cot", "gia_tri"]
@@ -250,21 +251,21 @@ def _check_unique(
 
 def check_unique_reader(tables: Tables, inserted: DataFrame, strict: bool = False) -> Checked:
     """Reject new readers whose identity number or phone another reader has; nulls never match."""
-    return _check_unique(tables.doc_gia, "ma_doc_gia", inserted, strict, own_key=False)
+    return check_unique(tables.doc_gia, "ma_doc_gia", inserted, strict, own_key=False)
 
 
 def check_unique_staff(tables: Tables, inserted: DataFrame, strict: bool = False) -> Checked:
     """The same rule among staff."""
-    return _check_unique(tables.nhan_vien, "ma_nhan_vien", inserted, strict, own_key=False)
+    return check_unique(tables.nhan_vien, "ma_nhan_vien", inserted, strict, own_key=False)
 
 
 def check_unique_reader_update(tables: Tables, changed: DataFrame) -> Checked:
     """The rule for changed readers: a row may keep its own values. Known from the requirements."""
-    return _check_unique(tables.doc_gia, "ma_doc_gia", changed, False, own_key=True)
+    return check_unique(tables.doc_gia, "ma_doc_gia", changed, False, own_key=True)
 
 
 def check_unique_staff_update(tables: Tables, changed: DataFrame) -> Checked:
-    return _check_unique(tables.nhan_vien, "ma_nhan_vien", changed, False, own_key=True)
+    return check_unique(tables.nhan_vien, "ma_nhan_vien", changed, False, own_key=True)
 
 
 def check_book_delete(tables: Tables, deleted: DataFrame) -> Checked:

@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import time
 import uuid
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Collection, Mapping, Sequence
 from dataclasses import dataclass, field, replace
 from functools import partial
 
@@ -155,12 +155,20 @@ def read_outcome(spark: SparkSession, base: str) -> DataFrame | None:
     return spark.read.parquet(place) if place else None
 
 
-def _read(spark: SparkSession, release: Release, name: str, buckets: Sequence[int] | None = None) -> DataFrame:
-    """A table of a release, or only some of its buckets; other bucket folders are not opened."""
+def read_parts(spark: SparkSession, release: Release, name: str, places: Collection[str]) -> DataFrame:
+    """The rows of some of a table's parts, as they are now."""
+    return _read(spark, release, name, places=places)
+
+
+def _read(
+    spark: SparkSession, release: Release, name: str, buckets: Sequence[int] | None = None,
+    places: Collection[str] | None = None,
+) -> DataFrame:
+    """A table of a release, or only some of its buckets or parts; others are not opened."""
     shape = schema(name).add(_BUCKET, T.IntegerType())
-    whole = None
+    whole = spark.createDataFrame([], schema(name)) if places is not None and not places else None
     for part in release.parts[name]:
-        if part.kind != VALUES:
+        if part.kind != VALUES and (places is None or part.place in places):
             rows = _of_buckets(spark.read.schema(shape).parquet(part.place), part, buckets).select(*columns(name))
             whole = rows if whole is None else whole.unionByName(rows)
     values = _values(spark, release, name, buckets)
@@ -184,6 +192,11 @@ def _shape(name: str, sets: Sequence[str]) -> T.StructType:
     return T.StructType([f for f in schema(name) if f.name in (*KEYS[name], *sets)]).add(_BUCKET, T.IntegerType())
 
 
+def values_set(spark: SparkSession, release: Release, name: str) -> DataFrame | None:
+    """What updates since the last compaction have set: keys, and per column a struct whose ``v`` is the last value."""
+    return _values(spark, release, name)
+
+
 def _values(
     spark: SparkSession, release: Release, name: str, buckets: Sequence[int] | None = None, made_after: int = 0
 ) -> DataFrame | None:
