@@ -51,8 +51,9 @@ PATTERNS = {
     "name": rf"(?<!\p{{L}})(?:{_TITLES})\.? \p{{Lu}}[\p{{Ll}}'-]+(?: \p{{Lu}}[\p{{Ll}}'-]+)?",
 }
 ANY = "(" + "|".join(PATTERNS.values()) + ")"
-_MAYBE = rf"[0-9@]|(?:{_TITLES})\.? \p{{Lu}}"
-_ROUNDS = 32
+# Every pattern holds one of these, so that a text without them holds no entity.
+_MAYBE = rf"[0-9@]|[a-f]{{32}}|[A-F]{{32}}|AKIA|(?:sk|ghp|xoxb)[-_]|(?:{_TITLES})\.? \p{{Lu}}"
+_VAIN = 8  # rounds without a single free surrogate after which there is none
 
 
 def replace_entities(docs: DataFrame, key: str, carry: Sequence[str] = ()) -> DataFrame:
@@ -108,7 +109,8 @@ def entity_surrogates(entities: DataFrame, key: str) -> DataFrame:
     open_ = durable(entities)
     real = open_
     done = open_.limit(0).withColumn("surrogate", F.lit(""))
-    for attempt in range(_ROUNDS):
+    vain, left, attempt = 0, None, 0
+    while vain < _VAIN:
         drawn = open_.withColumn("surrogate", _draw(F.col("kind"), F.col("entity"), key, attempt))
         first = Window.partitionBy("kind", "surrogate").orderBy("entity")  # only entities that collide meet here
         drawn = drawn.withColumn("turn", F.row_number().over(first))
@@ -119,8 +121,10 @@ def entity_surrogates(entities: DataFrame, key: str) -> DataFrame:
         done = done.unionByName(drawn.where("fine").select("kind", "entity", "surrogate"))
         if not seen["bad"]:
             return done
+        vain = vain + 1 if seen["bad"] == left else 0
+        left, attempt = seen["bad"], attempt + 1
         open_ = drawn.where("not fine").select("kind", "entity")
-    raise ValueError(f"no free surrogates left after {_ROUNDS} draws")
+    raise ValueError(f"no free surrogates left for {left} entities")
 
 
 def _kind(mention: Column) -> Column:
@@ -154,16 +158,17 @@ def _draw(kind: Column, entity: Column, key: str, attempt: int) -> Column:
     def letter(alphabet: str, i: Column) -> Column:
         return F.substr(F.lit(alphabet), number(i, len(alphabet)) + 1, F.lit(1))
 
-    def like(text: Column, hexadecimal: bool = False, skip: int = 0) -> Column:
+    def like(text: Column, hexadecimal: bool = False, skip: int = 0, stream: int = 0) -> Column:
         def one(c: Column, i: Column) -> Column:
+            i = i + stream
             low, up = ("abcdef", "ABCDEF") if hexadecimal else ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
             new = (F.when(c.rlike("[0-9]"), letter("0123456789", i)).when(c.rlike("[a-z]"), letter(low, i))
                    .when(c.rlike("[A-Z]"), letter(up, i)).otherwise(c))
-            return F.when(i < skip, c).otherwise(new) if skip else new
+            return F.when(i - stream < skip, c).otherwise(new) if skip else new
         return F.array_join(F.transform(F.split(text, ""), one), "")
 
     local, domain = F.substring_index(entity, "@", 1), F.substring_index(entity, "@", -1)
-    email = F.concat(like(local), F.lit("@"), like(F.regexp_replace(domain, r"\.[a-z]+\z", "")), F.lit(".example"))
+    email = F.concat(like(local), F.lit("@"), like(F.regexp_replace(domain, r"\.[a-z]+\z", ""), stream=31), F.lit(".example"))
     ip = F.concat_ws(".", *[(number(F.lit(i), 222 if i == 0 else 256) + (1 if i == 0 else 0)).cast("string") for i in range(4)])
     is_hex = entity.rlike(r"\A(?:[0-9a-f]+|[0-9A-F]+)\z")
     secret = F.when(is_hex, like(entity, hexadecimal=True)).when(entity.startswith("AKIA"), like(entity, skip=4)).otherwise(
@@ -176,7 +181,7 @@ def _draw(kind: Column, entity: Column, key: str, attempt: int) -> Column:
     card = F.when(kind == "card", card)
     return (
         F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "secret", secret)
-        .when(kind == "iban", like(entity, skip=2)).when(kind == "name", _name(entity, number))
+        .when(kind == "iban", like(entity, skip=2)).when(kind == "name", _name(entity, number, attempt))
         .when(kind == "card", card).when(kind == "phone", number_).otherwise(like(entity))
     )
 
@@ -189,8 +194,11 @@ def _check_digit(digits: Column) -> Column:
     return F.pmod(F.lit(10) - F.pmod(total, F.lit(10)), F.lit(10))
 
 
-def _name(entity: Column, number) -> Column:
-    """Given names of the same gender and script where there is one, and a family name of the script."""
+def _name(entity: Column, number, attempt: int) -> Column:
+    """Given names of the same gender and script where there is one, and a family name of the script.
+
+    Family names grow by a syllable every second draw, so there are always enough of them.
+    """
     gender, name = F.substring_index(entity, "/", 1), F.substring_index(entity, "/", -1)
     script = F.when(name.rlike(r"\p{IsCyrillic}"), "cyrillic").when(name.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
     # A title that says nothing leaves it to the name.
@@ -201,7 +209,7 @@ def _name(entity: Column, number) -> Column:
     for (s, g), names in GIVEN.items():
         def pick(words: Sequence[str], i: int) -> Column:
             return F.element_at(F.array(*[F.lit(w) for w in words]), number(F.lit(i), len(words)) + 1)
-        family = F.concat(F.initcap(pick(SYLLABLES[s], 2)), *[pick(SYLLABLES[s], i) for i in (3, 4, 5)], F.lit(ENDINGS[s, g]))
+        family = F.concat(F.initcap(pick(SYLLABLES[s], 2)), *[pick(SYLLABLES[s], i) for i in range(3, 6 + attempt // 2)], F.lit(ENDINGS[s, g]))
         whole = F.when(name.contains(" "), F.concat_ws(" ", pick(names, 1), family)).otherwise(family)
         out = F.when((script == s) & (gender == g), whole).otherwise(out)
     return out
