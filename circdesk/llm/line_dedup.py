@@ -33,7 +33,7 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     after a map-side combine, and joins take their other side from files, so that AQE can split a
     frequent key.
     """
-    lines = _lines(docs)
+    lines = _lines(docs, min_words)
     distinct = durable(
         lines.where("n > 0").groupBy("id1", "id2").agg(
             F.min(F.struct("doc_id", "line_no")).alias("first"),
@@ -44,10 +44,10 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     firsts = distinct.select("id1", "id2", "first").join(near, ["id1", "id2"], "left_anti")
     # What stays is the first occurrence of a line without an earlier neighbour.
     stays = firsts.select("first.doc_id", "first.line_no").withColumn("stays", F.lit(1))
-    numbered = lines.select("doc_id", "line_no", "n").groupBy("doc_id", "line_no").agg(F.max("n").alias("n"))
-    marked = numbered.withColumn("stays", (F.col("n") == 0).cast("int")).unionByName(
-        stays.withColumn("n", F.lit(None).cast("int"))
-    ).groupBy("doc_id", "line_no").agg(F.max("stays").alias("stays"))
+    # Of repeated rows with one doc_id a line stays without words only if it has none in any of them.
+    wordless = (~F.col("line").rlike(WORD)).cast("int")
+    numbered = _numbered(docs).groupBy("doc_id", "line_no").agg(F.min(wordless).alias("stays"))
+    marked = numbered.unionByName(stays).groupBy("doc_id", "line_no").agg(F.max("stays").alias("stays"))
     counted = marked.groupBy("doc_id").agg(
         F.count_if(F.col("line_no") >= 0).alias("n_lines"),
         F.count_if((F.col("line_no") >= 0) & (F.col("stays") == 0)).alias("n_removed"),
@@ -56,31 +56,36 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return counted.select("doc_id", "n_lines", "n_removed", "removed_lines")
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """doc_id, line_no, n words, id1, id2, halves; line_no -1 for a null text."""
-    rows = docs.where("doc_id is not null").select(
+def _numbered(docs: DataFrame) -> DataFrame:
+    """doc_id, line_no and line; line_no -1 for a null text."""
+    return docs.where("doc_id is not null").select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.posexplode(F.coalesce(F.split("text", "\n", -1), F.array(F.lit("")))).alias("line_no", "line"),
         F.col("text").isNull().alias("none"),
-    ).withColumn("words", _words(F.col("line")))
+    ).select("doc_id", F.when(F.col("none"), F.lit(-1)).otherwise(F.col("line_no")).alias("line_no"), "line")
+
+
+def _lines(docs: DataFrame, min_words: int) -> DataFrame:
+    """doc_id, line_no, n words, id1, id2, halves; line_no -1 for a null text."""
+    rows = _numbered(docs).withColumn("words", _words(F.col("line")))
     n = F.size("words")
     half = F.expr("n div 2")
     rows = rows.withColumn("n", n)
     return rows.select(
-        "doc_id", F.when(F.col("none"), F.lit(-1)).otherwise(F.col("line_no")).alias("line_no"), "n",
+        "doc_id", "line_no", "n",
         F.xxhash64("words").alias("id1"), F.xxhash64(F.lit(1), F.col("words")).alias("id2"),
         # Halves of the line itself, and of a line one word shorter: the same key in both lines.
-        F.array_distinct(F.array(
+        F.when(n >= min_words, F.array_distinct(F.array(
             F.xxhash64(F.lit(2), F.slice("words", 1, half)),
             F.xxhash64(F.lit(2), F.slice("words", 1, F.expr("(n - 1) div 2"))),
             F.xxhash64(F.lit(3), F.slice("words", F.expr("n div 2 + 1"), F.col("n"))),
             F.xxhash64(F.lit(3), F.slice("words", F.expr("(n - 1) div 2 + 2"), F.col("n"))),
-        )).alias("halves"),
+        ))).alias("halves"),
     )
 
 
 def _words(line: Column) -> Column:
-    return F.regexp_extract_all(line, F.lit(f"({WORD})"))
+    return F.regexp_extract_all(line, F.lit(WORD), F.lit(0))
 
 
 def _near(docs: DataFrame, distinct: DataFrame, min_words: int) -> DataFrame:
