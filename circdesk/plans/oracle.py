@@ -209,27 +209,26 @@ for _n in (1, 2, 4, 20):
       LEFT JOIN held_per_card h ON h.ma_the = w.ma_the WHERE muon_moi + coalesce(n, 0) > 5"""
 
 
-def _round_by_round(claims: str, name: str) -> dict[str, str]:
-    """Sequential admission as a recursive query: ``<name>`` lists the refused requests."""
+def _one_after_another(claims: str, name: str) -> dict[str, str]:
+    """Admission as a recursive query that takes one request in each step: ``<name>`` lists the refused ones.
+
+    The state is what has been taken of each key. Requests without a key that is asked for beyond its
+    capacity take no part: all of them fit.
+    """
     return {
-        f"{name}_st": f"""SELECT request_id, loai, khoa, so_luong, suc_chua, 0 AS vong, 0 AS tt
-          FROM {claims}
+        f"{name}_tight": f"SELECT loai, khoa FROM {claims} GROUP BY ALL HAVING sum(so_luong) > max(suc_chua)",
+        f"{name}_turn": f"""SELECT request_id, row_number() OVER (ORDER BY request_id) AS n
+          FROM (SELECT DISTINCT request_id FROM {claims} JOIN {name}_tight USING (loai, khoa)) x""",
+        f"{name}_asks": f"""SELECT n, list(struct_pack(k := loai || khoa, q := so_luong, r := suc_chua)) AS c
+          FROM {claims} JOIN {name}_tight USING (loai, khoa) JOIN {name}_turn USING (request_id) GROUP BY n""",
+        f"{name}_run": f"""SELECT CAST(0 AS BIGINT) AS n, TRUE AS ok, MAP([]::VARCHAR[], []::HUGEINT[]) AS lay
           UNION ALL
-          SELECT request_id, loai, khoa, so_luong, suc_chua, vong + 1,
-            CASE WHEN tt <> 0 THEN tt WHEN hong THEN 2 WHEN vua THEN 1 ELSE 0 END
-          FROM (SELECT *, bool_or(lo + so_luong > suc_chua) OVER r AS hong,
-                  bool_and(suc_chua IS NULL OR hi + so_luong <= suc_chua) OVER r AS vua,
-                  bool_or(tt = 0) OVER () AS con
-                FROM (SELECT *,
-                    coalesce(sum(CASE WHEN tt <> 2 THEN so_luong END) OVER k, 0) AS hi,
-                    coalesce(sum(CASE WHEN tt = 1 THEN so_luong END) OVER k, 0) AS lo
-                  FROM {name}_st
-                  WINDOW k AS (PARTITION BY loai, khoa ORDER BY request_id
-                               ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) a
-                WINDOW r AS (PARTITION BY request_id)) b
-          WHERE con""",
-        name: f"SELECT DISTINCT request_id FROM {name}_st "
-        f"WHERE tt = 2 AND vong = (SELECT max(vong) FROM {name}_st)",
+          SELECT n, ok, CASE WHEN ok THEN map_concat(lay, map_from_entries(list_transform(c,
+              lambda x: struct_pack(k := x.k, v := CAST(coalesce(lay[x.k], 0) + x.q AS HUGEINT))))) ELSE lay END
+          FROM (SELECT a.n, a.c, r.lay,
+                  list_bool_and(list_transform(a.c, lambda x: coalesce(r.lay[x.k], 0) + x.q <= x.r)) AS ok
+                FROM {name}_run r JOIN {name}_asks a ON a.n = r.n + 1) s""",
+        name: f"SELECT request_id FROM {name}_run JOIN {name}_turn USING (n) WHERE NOT ok",
     }
 
 
@@ -268,7 +267,7 @@ def _screen(so_luong_is: str) -> dict[str, str]:
         FROM asked{tag} WHERE vi_tri = 0""",
         f"claims{tag}": f"SELECT * FROM all_claims{tag} WHERE request_id IN (FROM able{tag})",
     }
-    parts |= _round_by_round(f"claims{tag}", f"refused{tag}")
+    parts |= _one_after_another(f"claims{tag}", f"refused{tag}")
     parts |= {
         f"used{tag}": f"""SELECT *, coalesce(sum(CASE WHEN nhan THEN so_luong END) OVER
             (PARTITION BY loai, khoa ORDER BY request_id
@@ -657,6 +656,14 @@ _BODY["q7_requests_for_one_line"] = (
 _BODY["t5_check_single_extension_strict"] = _BODY["t5_check_single_extension"]
 
 _BODY |= {
+    "q7_requests_for_first_line": _BODY["q7_requests_for_line"] + " WHERE y.ma_yeu_cau = "
+    "(SELECT min(ma_yeu_cau) FROM yeu_cau_gia_han)",
+    # new books have never been borrowed
+    "n2_rarely_borrowed_with_new_books": "SELECT ma_sach, ten_sach, n AS so_lan_muon, 'Sách \"' || ten_sach || "
+    "'\" (Mã sách: ' || ma_sach || ') ít được mượn – Số lần mượn: ' || n AS thong_bao FROM "
+    "(SELECT s.ma_sach, ten_sach, count(ma_phieu_muon) AS n FROM (SELECT ma_sach, ten_sach FROM sach UNION ALL "
+    "SELECT ma_sach, ten_sach FROM books_done WHERE ly_do IS NULL) s LEFT JOIN chi_tiet c "
+    "ON c.ma_sach = s.ma_sach GROUP BY 1, 2) x WHERE n < 2",
     "p3_release_lines_after": _BODY["p3_lines_after"],
     "p2_release_lines_compacted": _BODY["p2_lines_after"],
     "t2_restock_of_release": _BODY["p3_restock"],
@@ -692,7 +699,7 @@ _BODY |= {
     )
 }
 
-_PARTS |= _round_by_round("line_claims", "line_refused")
+_PARTS |= _one_after_another("line_claims", "line_refused")
 
 
 def _with_parts(body: str) -> str:

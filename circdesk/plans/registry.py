@@ -90,6 +90,17 @@ def _compacted_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_release(spark, base).chi_tiet
 
 
+def _requests_for_first_line(t: Tables) -> DataFrame:
+    """The keyed form on the line of the first stored request."""
+    first = t.yeu_cau_gia_han.select(F.min_by(F.struct("ma_phieu_muon", "ma_sach"), "ma_yeu_cau").alias("k")).first().k
+    return reports.requests_for_line(t, *(first or (None, None)))
+
+
+def _with_new_books(spark: SparkSession, sf_dir: str) -> Tables:
+    tables = derived_library(spark, sf_dir)
+    return tables.having(sach=append_rows(tables.sach, cataloguing.ingest_books(tables, src.new_books(spark, sf_dir)).books))
+
+
 def _bucketed(build: Callable[[Tables], DataFrame]) -> Query:
     """Over the library written in buckets of the slip id."""
 
@@ -355,6 +366,10 @@ QUERIES: dict[str, Query] = {
     "t2_restock_of_release": _restock_of_release,
     "f2_stock_of_release": _on_release(_returns, measures.stock_open4),
     "f6_open_loans_of_release": _on_release(_extensions, measures.reader_open_loans),
+    "q7_requests_for_first_line": _on_tables(_requests_for_first_line),
+    "n2_rarely_borrowed_with_new_books": lambda spark, sf_dir: reports.rarely_borrowed_notice(
+        _with_new_books(spark, sf_dir), threshold=2
+    ),
     # -- stored layouts, days since the last run, and checks in statement order
     "q1_fine_report_bucketed": _bucketed(lambda t: reports.fine_report(t, AS_OF)),
     "q6_open_loans_per_card_bucketed": _bucketed(reports.open_loans_per_card),
