@@ -21,6 +21,7 @@ from circdesk.llm.support import durable, pieces
 
 UNKNOWN = "und"
 BUCKETS = 1 << 16
+LANDMARKS = 1024  # of all languages together, which bounds the matrices on the driver
 _GRAMS = 3
 _MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 _BATCH = 256
@@ -54,7 +55,8 @@ def fit(
 
     Documents are drawn by a hash of doc_id with a rate set from the counts per language; held-out
     documents, null languages and texts without letters are left out. What reaches the driver is the
-    presence of n-grams in the sample. Without labelled documents the model knows no language.
+    presence of n-grams in the sample. Each language has up to ``landmarks_per_language`` landmarks, fewer if
+    there would be more than ``LANDMARKS`` in all. Without labelled documents the model knows no language.
     """
     labelled = docs.where(
         (_rest(F.col("doc_id")) != 2) & F.col("lang").isNotNull() & has_letter(F.col("text"))
@@ -76,7 +78,7 @@ def _solve(lang: np.ndarray, place: np.ndarray, grams: list[np.ndarray], marks:
     names = tuple(sorted(set(lang)))
     if not names:
         return Model((), np.zeros((BUCKETS, 0), np.float32))
-    chosen = np.flatnonzero(place <= marks)
+    chosen = np.flatnonzero(place <= max(1, min(marks, LANDMARKS // len(names))))
     landmark = np.zeros((BUCKETS, len(chosen)), np.float32)
     for j, i in enumerate(chosen):
         landmark[grams[i], j] = 1 / np.sqrt(max(1, len(grams[i])))
