@@ -8,7 +8,18 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from circdesk.model import messages, vocab
-from circdesk.operators import checks, measures, reports
+from circdesk.operators import (
+    admission,
+    batches,
+    cataloguing,
+    checks,
+    components,
+    in_order,
+    lending,
+    measures,
+    ordering,
+    reports,
+)
 from circdesk.operators.skew import spread_join
 from circdesk.plans.oracle import ORACLE
 from circdesk.plans.registry import QUERIES
@@ -39,6 +50,23 @@ def test_no_nested_loops_and_no_python(spark, name):
     assert not re.search("Python|Pandas|InArrow", plan)
 
 
+@pytest.mark.parametrize("name", [
+    "p1_create_loans", "p2_apply_extensions", "p3_process_returns", "p4_ingest_books", "t1_t4_admit_statements",
+    "t5_admit_extensions", "t6_admit_readers",
+])
+def test_what_batches_write_on_the_way(spark, monkeypatch, name):
+    """The plan of every intermediate result that a batch writes, and of its outcome."""
+    plans = []
+    for module in (admission, batches, cataloguing, components, in_order, lending, ordering):
+        write = getattr(module, "durable", None)
+        if write is not None:
+            monkeypatch.setattr(module, "durable", lambda df, write=write, **k: plans.append(plan_of(df)) or write(df, **k))
+    plans.append(plan_of(QUERIES[name](spark, SMALL)))
+    assert len(plans) > 1
+    for plan in plans:
+        assert not re.search("NestedLoop|Cartesian|Python|Pandas|InArrow", plan)
+
+
 def test_filters_and_columns_reach_the_scan(stored):
     plan = plan_of(measures.stock_open4(stored))
     assert re.search(r"PushedFilters: \[.*In\(trang_thai_muon", plan)
