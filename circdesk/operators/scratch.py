@@ -47,6 +47,22 @@ def remove(spark: SparkSession, places: Iterable[str]) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def durable_by(df: DataFrame, key: str) -> DataFrame:
+    """Like ``durable``, in buckets of a key: joins on it shuffle the other side only, however often they come."""
+    spark, name = df.sparkSession, f"circdesk_{uuid.uuid4().hex}"
+    path, width = _new_place(spark), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.repartition(width, key).write.format("parquet").option("path", path).bucketBy(width, key).sortBy(key).saveAsTable(name)
+    return spark.table(name)
+
+
+def _new_place(spark: SparkSession) -> str:
+    path = f"{scratch_folder(spark).rstrip('/')}/circdesk/{uuid.uuid4().hex}"
+    noted = _noted.get()
+    if noted is not None:
+        noted.append(path)
+    return path
+
+
 def durable(df: DataFrame, **counts: Column) -> DataFrame | tuple[DataFrame, dict[str, int]]:
     """Write ``df`` once and go on from the files.
 
@@ -55,10 +71,7 @@ def durable(df: DataFrame, **counts: Column) -> DataFrame | tuple[DataFrame, dic
     writing and returned beside the rows.
     """
     spark = df.sparkSession
-    path = f"{scratch_folder(spark).rstrip('/')}/circdesk/{uuid.uuid4().hex}"
-    noted = _noted.get()
-    if noted is not None:
-        noted.append(path)
+    path = _new_place(spark)
     if not counts:
         df.write.parquet(path)
         return spark.read.schema(df.schema).parquet(path)
