@@ -8,7 +8,7 @@ from circdesk.model.tables import Tables
 from circdesk.operators import checks, measures
 from circdesk.operators.checks import restock_on_return
 from circdesk.operators.deltas import apply_changes
-from circdesk.operators.scratch import scratch_folder
+from circdesk.operators.scratch import durable_by, scratch_folder
 from circdesk.sources.library import library_of, rows_of
 from circdesk.sources.versions import (
     COMPACTED,
@@ -381,3 +381,16 @@ def test_steps_for_extensions_accounts_and_cards(spark, tmp_path):
     assert rows(now.the_thu_vien, "ma_the", "trang_thai") == [(1, V.HOAT_DONG), (2, V.BI_HUY)]
     assert rows(read_outcome(spark, base), "request_id", "thanh_cong") == [(1, False), (2, True)]
     assert counts_of(now) == recounted(now)
+
+
+def test_results_in_buckets_join_without_a_shuffle_of_theirs(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        held = durable_by(spark.range(1000).selectExpr("id k", "id * 2 v"), "k")
+        joined = spark.range(0, 2000, 3).withColumnRenamed("id", "k").join(held, "k")
+        tree = plan_of(joined)
+        tree = tree[: tree.index("\n\n")]
+        assert tree.count("Exchange") == 1 and joined.count() == 334
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
