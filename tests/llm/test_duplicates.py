@@ -72,6 +72,29 @@ def test_jaccard_recall_on_documents(spark):
     assert all((got[i].class_id == c) and got[i].kept == (c == i) for (i, _), c in zip(rows, label))
 
 
+def test_jaccard_links_to_sets_that_left_with_a_pivot(spark):
+    """Slight variations of one set, and pairs of which one set is similar to all of these, the other only to the first."""
+    base = [f"b{i}" for i in range(200)]
+    rows = [(1000 + i, " ".join([*base, f"u{i}", f"v{i}"])) for i in range(60)]
+    for i in range(12):
+        words = base[16 * i:] + base[:16 * i]
+        x = [*words[20:], *[f"x{i}_{n}" for n in range(20)]]
+        rows += [(100 + i, " ".join(x)), (i, " ".join([*x[20:], *[f"y{i}_{n}" for n in range(20)]]))]
+    sets = [frozenset(t.split()) for _, t in rows]
+    near = [[j for j, b in enumerate(sets) if j != i and len(a & b) >= 0.8 * len(a | b)] for i, a in enumerate(sets)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    found = similar_documents(docs, shingle=1, bucket=8, recall=0.5).collect()
+    assert {(r.doc_id, r.class_id, r.n_links) for r in found} == {
+        (i, c, len(n)) for (i, _), c, n in zip(rows, _classes([i for i, _ in rows], near), near)}
+
+
+def test_all_members_of_a_known_class_stay_on_a_path(spark):
+    sets = [(bytes([i]), 1) for i in range(40)]
+    known = spark.createDataFrame([(s, b"c") for s, _ in sets[:30]], "sid binary, component_id binary")
+    met = jaccard_join._met(spark.createDataFrame(sets, "sid binary, path long"), known).collect()
+    assert sorted((bytes(r.sid), r.n) for r in met) == [(s, 40) for s, _ in sets]
+
+
 def test_jaccard_of_nothing(nothing):
     assert similar_documents(nothing).collect() == []
 
