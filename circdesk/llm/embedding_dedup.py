@@ -3,8 +3,9 @@
 A neighbour graph is seeded from sorted sign signatures and refined by comparing the neighbours of
 each vector with one another, until hardly any link above the threshold is new. A vector whose
 whole list lies above the threshold may have more such neighbours: its list is enlarged to all of
-its component, compared in blocks. An audit against brute force on a sample decides whether the
-graph is good enough, else more seeds are added.
+its component, compared in blocks, and to the vectors of other components that lie near the middle of
+the full lists' owners in it, which are all that can be similar to one of them. An audit against brute force on a
+sample decides whether the graph is good enough, else more seeds are added.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ RECALL = 0.995
 _AUDITED = 300
 _WINDOW = 64
 _BLOCK = 256
+_SIDE = 2000
 _ROUNDS = 8
 _ROWS = 4000
 _EDGE = "v long, u long, sim double"
@@ -45,7 +47,7 @@ def linked_vectors(
 
     All comparisons are between rows that Spark brings together in groups of bounded size: windows
     of a sorted range, neighbours of one vector (popular ones in several groups), pairs of blocks of
-    a component.
+    a component, blocks of vectors and of middles of components with full lists.
     """
     source = vectors.select(
         F.col("vec_id").cast("long").alias("vec_id"), F.col("label"), F.col("embedding").cast("array<double>").alias("vector")
@@ -66,6 +68,12 @@ def linked_vectors(
                 break
         links = graph.where(F.col("sim") >= threshold - 1e-6)
         parts = durable(components(links, "v", "u").withColumnRenamed("node", "pid"))
+        full = durable(links.groupBy("v").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= neighbours).select(F.col("v").alias("pid")))
+        if not full.isEmpty():
+            across = durable(_across(full, parts, unit, threshold))
+            if not across.isEmpty():
+                links = links.select("v", "u").unionByName(across)
+                parts = durable(components(links, "v", "u").withColumnRenamed("node", "pid"))
         counts = durable(_counted(parts, unit, threshold))
         if _audited(unit, counts, threshold) >= recall:
             break
@@ -205,6 +213,79 @@ def _best(rows: pa.Table, k: int, floor: str | None) -> pa.RecordBatch:
         [pa.array(np.repeat(pid, k)[use]), pa.array(pid[best.ravel()][use]), pa.array(value[use])], names=["v", "u", "sim"])
 
 
+def _across(full: DataFrame, parts: DataFrame, unit: DataFrame, threshold: float) -> DataFrame:
+    """Links (v, u) of vectors with owners of full lists (pid) in other components.
+
+    Angles add up at most: what is linked with an owner lies within the threshold's angle and that of the farthest
+    owner from the middle, which is one of them. Such vectors are compared with all owners of the component.
+    """
+    owners = durable(full.join(parts, "pid").join(unit.select("pid", "label", "size", "vector"), "pid"))
+    middles = durable(owners.groupBy("component_id").agg(F.min_by("vector", "pid").alias("middle")))
+
+    def far(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, _ROWS):
+            x, m = (np.frombuffer(b"".join(v), np.float64) for v in (batch.column(c).to_pylist() for c in ("vector", "middle")))
+            starts = np.concatenate([[0], np.cumsum(batch.column("size").to_numpy())[:-1]]).astype(np.int64)
+            angle = np.arccos(np.clip(np.add.reduceat(x * m, starts), -1, 1))
+            yield pa.RecordBatch.from_arrays([batch.column("component_id"), batch.column("label"), batch.column("size"), pa.array(angle)],
+                                             names=["component_id", "label", "size", "angle"])
+
+    kind = dict(unit.dtypes)["label"]
+    reach = owners.join(middles, "component_id").select("component_id", "label", "size", "vector", "middle").mapInArrow(
+        far, f"component_id long, label {kind}, size int, angle double").groupBy("component_id", "label", "size").agg(
+        F.max("angle").alias("reach"))
+    around = durable(reach.join(middles, "component_id").select(
+        "label", "size", F.col("component_id").alias("pid"), "component_id", "reach", F.col("middle").alias("vector")))
+    others = unit.select("pid", "label", "size", "vector").join(parts, "pid", "left").select(
+        "label", "size", "pid", "component_id", F.lit(0.0).alias("reach"), "vector")
+
+    def near(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for side in _sided(batches, ("label", "size", "b1", "b2")):
+            (x, y), (met, own) = [_matrix(t.column("vector").to_pylist()) for t in side], [t.column("component_id").to_pylist() for t in side]
+            least = np.cos(np.minimum(np.pi, side[0].column("reach").to_numpy() + np.arccos(threshold) + 1e-6)) - 1e-9
+            a, b = np.nonzero(x @ y.T >= least[:, None])
+            apart = [n for n, (i, j) in enumerate(zip(a, b)) if met[i] != own[j]]
+            pid = side[1].column("pid").to_numpy()
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(pid[b[apart]], pa.int64()), pa.array([met[i] for i in a[apart]], pa.int64())], names=["pid", "component_id"])
+
+    def linked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for side in _sided(batches, ("component_id", "b1", "b2")):
+            (x, y), (u, v) = [_matrix(t.column("vector").to_pylist()) for t in side], [t.column("pid").to_numpy() for t in side]
+            sim = y @ x.T
+            best = sim.argmax(1)
+            some = sim.max(1) >= threshold
+            yield pa.RecordBatch.from_arrays([pa.array(v[some]), pa.array(u[best[some]])], names=["v", "u"])
+
+    asked = durable(_two_sides(around, others, ["label", "size"]).mapInArrow(near, "pid long, component_id long"))
+    asking = asked.join(unit.select("pid", "vector"), "pid").select("component_id", "pid", "vector")
+    return _two_sides(owners.select("component_id", "pid", "vector"), asking, ["component_id"]).mapInArrow(linked, "v long, u long")
+
+
+def _two_sides(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of each key laid out so that every block of ``a`` meets every block of ``b``."""
+    rows = a.withColumn("side", F.lit(0)).unionByName(b.withColumn("side", F.lit(1)))
+    sizes = durable(rows.groupBy(*keys).agg(*[
+        F.ceil(F.count_if(F.col("side") == s) / _SIDE).cast("int").alias(f"n{s}") for s in (0, 1)]).where("n0 > 0 and n1 > 0"))
+    first = F.col("side") == 0
+    laid = (
+        rows.join(sizes, keys)
+        .withColumn("own", F.pmod(F.xxhash64("pid"), F.when(first, F.col("n0")).otherwise(F.col("n1"))).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.when(first, F.col("n1")).otherwise(F.col("n0")) - 1)))
+        .withColumns({"b1": F.when(first, F.col("own")).otherwise(F.col("other")), "b2": F.when(first, F.col("other")).otherwise(F.col("own"))})
+        .drop("own", "other", "n0", "n1")
+    )
+    return laid.repartition(*keys, "b1", "b2").sortWithinPartitions(*keys, "b1", "b2")
+
+
+def _sided(batches: Iterable[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[tuple[pa.Table, pa.Table]]:
+    """The two sides of each pair of blocks in which there are both."""
+    for rows in _runs(batches, keys, 1 << 30, 0):
+        side = rows.column("side").to_numpy()
+        if 0 < side.sum() < len(side):
+            yield rows.filter(pa.array(side == 0)), rows.filter(pa.array(side == 1))
+
+
 def _counted(parts: DataFrame, unit: DataFrame, threshold: float) -> DataFrame:
     """pid, links (weighted by copies) and root (one pid for all that links connect here) from all pairs of
     a component, block by block."""

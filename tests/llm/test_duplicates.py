@@ -88,6 +88,24 @@ def test_jaccard_links_to_sets_that_left_with_a_pivot(spark):
         (i, c, len(n)) for (i, _), c, n in zip(rows, _classes([i for i, _ in rows], near), near)}
 
 
+def test_vectors_with_full_lists_are_linked_across_groups(spark):
+    """Two close groups in which one vector each is similar to one of the other group, which no list has room for."""
+    draw = np.random.default_rng(8)
+    a, b, *noise = np.linalg.qr(draw.normal(size=(64, 42)))[0].T
+    def turned(angle, i):
+        v = np.cos(angle) * a + np.sin(angle) * b + 0.004 * noise[i]
+        return (v / np.linalg.norm(v)).tolist()
+    end = np.arccos(0.98)
+    rows = [(i, turned(0.0005 * i, i), 1) for i in range(20)]
+    rows += [(20 + i, turned(0.0005 * 19 + end * 0.999 + 0.0005 * i, 20 + i), 1) for i in range(20)]
+    x = np.array([v for _, v, _ in rows])
+    near = x @ x.T >= 0.98
+    np.fill_diagonal(near, False)
+    assert near[:20, 20:].sum() and not near[:20, 20:].all()
+    found = linked_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert {(r.vec_id, r.n_links, r.component_id) for r in found} == {(i, int(near[i].sum()), 0) for i in range(40)}
+
+
 def test_all_members_of_a_known_class_stay_on_a_path(spark):
     sets = [(bytes([i]), 1) for i in range(40)]
     known = spark.createDataFrame([(s, b"c") for s, _ in sets[:30]], "sid binary, component_id binary")
