@@ -232,6 +232,11 @@ def _bucket(name: str):
     return F.pmod(F.xxhash64(KEYS[name][0]), F.lit(BUCKETS)).cast("int")
 
 
+def _lay(rows: DataFrame, name: str) -> DataFrame:
+    """Rows of a table dealt by bucket and, inside it, by a hash of the whole key; the bucket is not shuffled with them."""
+    return rows.repartition(_bucket(name), F.pmod(F.xxhash64(*KEYS[name]), F.lit(16)))
+
+
 def publish(
     spark: SparkSession, base: str, changed: Mapping[str, DataFrame] | Changes, source: str | None = None,
     after: Release | None = None,
@@ -296,8 +301,7 @@ def _write(
         if kind == ROWS:  # new rows may leave columns out
             rows = rows.withColumns({f.name: F.lit(None).cast(f.dataType) for f in schema(name) if f.name not in rows.columns})
         laid = rows.select(*columns(name))
-    laid = laid.withColumn(_BUCKET, _bucket(name))
-    laid = laid.repartition(_BUCKET, F.pmod(F.xxhash64(*KEYS[name]), F.lit(16))).sortWithinPartitions(_BUCKET, *KEYS[name])
+    laid = _lay(laid, name).withColumn(_BUCKET, _bucket(name)).sortWithinPartitions(_BUCKET, *KEYS[name])
     seen = Observation()
     counted = laid.observe(seen, F.count(F.lit(1)).alias("n"), F.collect_set(_BUCKET).alias("buckets"))  # at most BUCKETS
     writer = counted.write.option(f"parquet.bloom.filter.enabled#{key}", "true").option(

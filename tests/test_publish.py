@@ -9,6 +9,7 @@ from circdesk.operators import checks, measures
 from circdesk.operators.checks import restock_on_return
 from circdesk.operators.deltas import apply_changes
 from circdesk.operators.scratch import durable_by, scratch_folder
+from circdesk.sources import versions
 from circdesk.sources.library import library_of, rows_of
 from circdesk.sources.versions import (
     COMPACTED,
@@ -236,6 +237,17 @@ def test_compaction_leaves_untouched_buckets_alone(spark, tmp_path):
     assert rows(read_release(spark, base).chi_tiet, *columns("chi_tiet")) == plain
 
 
+def test_rows_are_dealt_without_their_bucket(spark, tmp_path, monkeypatch):
+    """The bucket, one more column of every shuffled row, is added after the shuffle."""
+    dealt = []
+    monkeypatch.setattr(versions, "_lay", lambda r, name, lay=versions._lay: dealt.append(lay(r, name)) or dealt[-1])
+    base = str(tmp_path / "lib")
+    publish(spark, base, everything(lines_library(spark)))
+    assert [d.columns for d in dealt] == [columns(n) for n in Tables.names()]
+    assert all("REPARTITION_BY_COL" in plan_of(d) for d in dealt)
+    assert rows(read_release(spark, base).chi_tiet, *columns("chi_tiet")) == rows(lines_library(spark).chi_tiet, *columns("chi_tiet"))
+
+
 def test_a_feed_opens_only_touched_buckets(spark, tmp_path):
     base = str(tmp_path / "lib")
     publish(spark, base, everything(lines_library(spark)))
