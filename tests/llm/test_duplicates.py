@@ -276,3 +276,23 @@ def test_no_document_is_lost(spark):
     n = docs.count()
     assert similar_documents(docs).select(F.count_distinct("doc_id")).first()[0] == n
     assert jaccard_join.BUCKET > 1 and substring_dedup.WINDOW == 20
+
+
+def test_a_passage_in_most_texts_is_not_followed():
+    draw = np.random.default_rng(3)
+    common = np.sort(draw.choice(1 << 40, 400, replace=False)).astype(np.uint64)
+    starts = list(range(1, 11))
+    for h in (0, 100, 320, 340, 400):  # common ones of 500; from 321 on they are followed too
+        shared = []
+        for _ in range(300):
+            own = draw.choice(1 << 40, 500 - h + 56, replace=False).astype(np.uint64)
+            both = [np.sort(np.concatenate([common[:h], part])) for part in (own[: 500 - h], own[56:])]  # similarity 0.8
+            often = [jaccard_join._is_among(s, common) for s in both]
+            first, second = (set(jaccard_join._chosen(s, starts, 0.8, 1.5, o).tolist()) for s, o in zip(both, often))
+            shared.append(len(first & second) / len(starts))
+            assert len(first) < 8 * len(starts)
+        assert np.mean(shared) > 1.4
+    passage_only = [jaccard_join._chosen(
+        np.concatenate([common[:300], draw.choice(1 << 40, 200).astype(np.uint64)]), starts, 0.8, 1.5,
+        np.arange(500) < 300) for _ in range(20)]
+    assert len(np.unique(np.concatenate(passage_only))) == sum(len(p) for p in passage_only)  # no path of two texts
