@@ -17,8 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from circdesk.llm.support import durable
-from circdesk.llm.support import pieces as cut_batches
-from circdesk.llm.tokens import ROWS, crc, cut, encoder
+from circdesk.llm.tokens import crc, cut, encoder, slices
 
 CAPACITY = 1024
 OPEN_BINS = 4096
@@ -79,7 +78,7 @@ def token_pieces(
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer)
-        for batch in cut_batches(batches, ROWS):
+        for batch in slices(batches):
             ids, at = encode.ids(batch.column("cut"), end)
             out: list[list] = [[] for _ in range(5)]
             for i, doc in enumerate(batch.column("doc_id").to_pylist()):

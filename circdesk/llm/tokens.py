@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import functools
 import zlib
+from array import array
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +22,8 @@ from tokenizers import Tokenizer
 # The pattern of the byte-level pre-tokenizer, and the ranges whose classes are settled.
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _SETTLED = r"[\x{0}-\x{58F}\x{2000}-\x{206F}\x{20A0}-\x{20BF}\x{2190}-\x{22FF}\x{3000}-\x{30FE}\x{4E00}-\x{9FA5}]*"
-_CACHED = 400_000
-ROWS = 200
+_CACHED = 200_000
+_ROWS, _PIECES = 1000, 400_000
 
 
 def cut(text: Column, path: str) -> Column:
@@ -39,20 +41,36 @@ def cut(text: Column, path: str) -> Column:
     )
 
 
+def slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches, with a column ``cut``, in slices of so many rows and about so many pieces at most, or of one row."""
+    for batch in batches:
+        cuts = batch.column("cut").field("cuts")
+        ends = np.cumsum(cuts.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        start = 0
+        while start < batch.num_rows:
+            before = ends[start - 1] if start else 0
+            stop = int(np.searchsorted(ends, before + _PIECES, "right"))
+            stop = max(start + 1, min(stop, start + _ROWS))
+            yield batch.slice(start, stop - start)
+            start = stop
+
+
 class Encoder:
-    """Encodes Arrow batches of ``cut`` structs; remembers a bounded number of pieces."""
+    """Encodes Arrow batches of ``cut`` structs; remembers a bounded number of pieces, those used last."""
 
     def __init__(self, path: str) -> None:
         self.tokenizer = Tokenizer.from_file(path)
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids are kept in two bytes; this vocabulary is too large")
+        self.model = self.tokenizer.model
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def ids(self, column: pa.StructArray, end: int | None) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a batch one after another (uint16), and where each text's ids start and end."""
         cuts, whole = column.field("cuts"), column.field("whole")
         encoded = cuts.flatten().dictionary_encode()
-        pieces = [self._piece(p) for p in encoded.dictionary.to_pylist()]
+        pieces = [self.known.get(p) or self._piece(p) for p in encoded.dictionary.to_pylist()]
         flat = np.frombuffer(b"".join(pieces), np.uint16)
         size = np.array([len(p) // 2 for p in pieces], np.int64)
         at = np.concatenate([[0], np.cumsum(size)])
@@ -73,13 +91,13 @@ class Encoder:
         return np.concatenate(parts) if parts else flat, np.array(starts, np.int64)
 
     def _piece(self, piece: str) -> bytes:
-        found = self.known.get(piece)
+        if len(self.known) >= _CACHED:
+            self.known, self.older = {}, self.known
+        found = self.older.get(piece)
         if found is None:
-            if len(self.known) >= _CACHED:
-                self.known.clear()
             letters = piece.encode().decode("latin-1").translate(_BYTE_LETTERS)
-            found = np.array([t.id for t in self.tokenizer.model.tokenize(letters)], np.uint16).tobytes()
-            self.known[piece] = found
+            found = array("H", [t.id for t in self.model.tokenize(letters)]).tobytes()
+        self.known[piece] = found
         return found
 
 

@@ -4,8 +4,10 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from tokenizers import Tokenizer
 
+from circdesk.llm import tokens
 from circdesk.llm.id_files import Index, PerfectHash, look_up, read_documents, write_ids
 from circdesk.llm.packing import Bins, pack, sequences, token_pieces
 from tests.llm.cases import awkward_rows, documents
@@ -106,3 +108,21 @@ def test_perfect_hash_is_minimal():
     assert (doc_ids[first] == keys).all() and (count[:50] == 2).all() and (count[50:] == 1).all()
     strange = np.setdiff1d(np.arange(2000), keys)
     assert index.rows(strange)[1].sum() <= 1
+
+
+def test_slices_are_bounded_and_pieces_kept(monkeypatch):
+    monkeypatch.setattr(tokens, "_ROWS", 4)
+    monkeypatch.setattr(tokens, "_PIECES", 10)
+    lengths = [3, 3, 3, 3, 3, 30, 0, 0, 0, 0, 0, 2]
+    column = pa.StructArray.from_arrays(
+        [pa.array([["a"] * n for n in lengths], pa.list_(pa.string())), pa.nulls(12, pa.string())], ["cuts", "whole"])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(12)), column], names=["doc_id", "cut"])
+    found = [s.column("doc_id").to_pylist() for s in tokens.slices([batch, batch.slice(5, 3), batch.slice(0, 0)])]
+    assert found == [[0, 1, 2], [3, 4], [5], [6, 7, 8, 9], [10, 11], [5], [6, 7]]
+    monkeypatch.setattr(tokens, "_CACHED", 2)
+    encode = tokens.Encoder(PATH)
+    want = [x for n in lengths for x in _ids("a" * n)[:0] + _ids("a")[:-1] * n + [2]]
+    assert encode.ids(column, 2)[0].tolist() == want
+    for piece in ("a", "b", "c", "a", "d"):  # "a" is used again and stays, "b" leaves
+        assert (encode.known.get(piece) or encode._piece(piece)) == np.array(_ids(piece)[:-1], np.uint16).tobytes()
+    assert len(encode.known) <= 2 and "a" in {**encode.known, **encode.older}
