@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from circdesk.llm.support import durable
-from circdesk.llm.tokens import crc, cut, encoder, slices
+from circdesk.llm.tokens import crc, cut, encoder, slices, split
 from circdesk.operators.scratch import scratch_folder
 
 _SPARE = 2.0
@@ -157,7 +157,7 @@ def write_ids(docs: DataFrame, tokenizer: str, end: int = 2, folder: str | None
         store, root = fs.FileSystem.from_uri(folder)
         path = f"{root}/shard-{shard:06d}-{uuid.uuid4().hex}"
         encode, ids_of, at, out = encoder(tokenizer), [], [np.zeros(1, np.int64)], None
-        for batch in slices(batches):
+        for batch in slices(split(batches)):
             if out is None:
                 store.create_dir(root, recursive=True)
                 out = store.open_output_stream(f"{path}.ids")

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from circdesk.llm.support import durable
-from circdesk.llm.tokens import crc, cut, encoder, slices
+from circdesk.llm.tokens import crc, cut, encoder, slices, split
 
 CAPACITY = 1024
 OPEN_BINS = 4096
@@ -78,7 +78,7 @@ def token_pieces(
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer)
-        for batch in slices(batches):
+        for batch in slices(split(batches)):
             ids, at = encode.ids(batch.column("cut"), end)
             out: list[list] = [[] for _ in range(5)]
             for i, doc in enumerate(batch.column("doc_id").to_pylist()):

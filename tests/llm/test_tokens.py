@@ -126,3 +126,27 @@ def test_slices_are_bounded_and_pieces_kept(monkeypatch):
     for piece in ("a", "b", "c", "a", "d"):  # "a" is used again and stays, "b" leaves
         assert (encode.known.get(piece) or encode._piece(piece)) == np.array(_ids(piece)[:-1], np.uint16).tobytes()
     assert len(encode.known) <= 2 and "a" in {**encode.known, **encode.older}
+
+
+def test_marked_texts_give_the_ids_of_whole_texts(spark):
+    texts = ["a\0b", "\0", "", None, "it's a\u00a0b", "don't  stop\n\n x's", "'s's '"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    made = rows.coalesce(1).select("doc_id", tokens.cut(rows.text, PATH).alias("cut")).toArrow().to_batches()
+    assert pa.Table.from_batches(made).column("cut").combine_chunks().field("marked").null_count == 2
+    encode = tokens.Encoder(PATH)
+    got = []
+    for batch in tokens.slices(tokens.split(made)):
+        ids, at = encode.ids(batch.column("cut"), 2)
+        got += [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])]
+    assert got == [_ids(t) for t in texts]
+
+
+def test_listed_pieces_are_bounded_and_those_used_stay(monkeypatch):
+    monkeypatch.setattr(tokens, "_LISTED", 3)
+    monkeypatch.setattr(tokens, "_CACHED", 2)
+    encode = tokens.Encoder(PATH)
+    for words in (["one", "two", "one"], ["one", "three", "four"], ["one", "five"], ["two", "one"], []):
+        column = pa.StructArray.from_arrays([pa.array([words], pa.list_(pa.string())), pa.nulls(1, pa.string())], ["cuts", "whole"])
+        assert encode.ids(column, 2)[0].tolist() == [x for w in words for x in _ids(w)[:-1]] + [2]
+        assert len(encode.listed) <= 3 + len(words) and len(encode.listed) == len(encode.at) - 1 == len(encode.used)
+    assert "one" in encode.listed.to_pylist() and len(encode.known) <= 2
